@@ -36,18 +36,19 @@ def word_shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes:
     return textcore.mix64(code * np.uint64(2) + again + np.uint64(1 << 40))
 
 
-def hashed_rows(column: pa.Array, orders: tuple[int, ...], bits: int, shapes: tuple[int, ...] = (), strip: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def hashed_rows(column: pa.Array, orders: tuple[int, ...], bits: int, shapes: tuple[int, ...] = (), prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For row ranges [a, b) of a text column: distinct n-gram buckets, their counts, row bounds.
 
     Every row also has bucket 0 as a bias, so an empty or null text has a score. With
-    `shapes`, n-grams of word shapes fill the upper half of the buckets.
+    `shapes`, n-grams of word shapes fill the upper half of the buckets. With `prefixes`,
+    words lose their outer punctuation and longer words also count by their first bytes.
     """
     data, offsets = textcore.flat(column)
     mask, half = np.uint64((1 << bits) - 1), np.uint64(1 << (bits - 1))
     for a, b in textcore.blocks(offsets):
         part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, bounds = textcore.words(part, local)
-        if strip:
+        if prefixes:
             starts, ends = textcore.stripped(part, starts, ends)
         h = textcore.segment_hashes(part, starts, ends, lower=True)
         grams = [textcore.ngrams(h, bounds, n) for n in orders]
@@ -55,6 +56,10 @@ def hashed_rows(column: pa.Array, orders: tuple[int, ...], bits: int, shapes: tu
             grams = [((g & mask) & ~half, gb) for g, gb in grams]
             s = word_shapes(part, starts, ends, h)
             grams += [(g | half, gb) for g, gb in (textcore.ngrams(s, bounds, n) for n in shapes)]
+        for n in prefixes:
+            long = ends - starts > n
+            heads = textcore.segment_hashes(part, starts[long], starts[long] + n, lower=True)
+            grams.append((textcore.mix64(heads + np.uint64(n)), np.concatenate([[0], np.cumsum(long)])[bounds]))
         rows = [np.repeat(np.arange(b - a), np.diff(gb)) for _, gb in grams]
         bias = np.arange(b - a)
         row = np.concatenate([bias, *rows]).astype(np.uint64)
@@ -68,7 +73,7 @@ def hashed_rows(column: pa.Array, orders: tuple[int, ...], bits: int, shapes: tu
         yield a, b, (key & mask).astype(np.int64), counts, np.searchsorted(key >> np.uint64(bits), np.arange(b - a + 1, dtype=np.uint64)).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, id_col: str, text_col: str, orders: tuple[int, ...], bits: int, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], weights: np.ndarray, keep: tuple[str, ...] = (), shapes: tuple[int, ...] = (), strip: bool = False) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str, text_col: str, orders: tuple[int, ...], bits: int, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], weights: np.ndarray, keep: tuple[str, ...] = (), shapes: tuple[int, ...] = (), prefixes: tuple[int, ...] = ()) -> DataFrame:
     """One row per document: the id, `keep` columns, score = sigmoid(sparse dot product)."""
     weights = weights.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^bits floats, whatever the corpus
@@ -77,7 +82,7 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, orders: tuple[int,
         w = shared.value
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for a, b, idx, counts, bounds in hashed_rows(batch.column("_text"), orders, bits, shapes, strip):
+            for a, b, idx, counts, bounds in hashed_rows(batch.column("_text"), orders, bits, shapes, prefixes):
                 x = value(idx, counts, bounds)
                 z = np.add.reduceat(w[idx] * x, bounds[:-1])
                 scores[a:b] = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
@@ -89,7 +94,7 @@ def score_texts(docs: DataFrame, id_col: str, text_col: str, orders: tuple[int,
     return store.map_arrow(slim, run, schema)
 
 
-def training_rows(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, orders: tuple[int, ...], bits: int, shapes: tuple[int, ...] = (), strip: bool = False) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
+def training_rows(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, orders: tuple[int, ...], bits: int, shapes: tuple[int, ...] = (), prefixes: tuple[int, ...] = ()) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
     """Features of the picked rows, sorted by id: (id, label, buckets, counts).
 
     `picked` (id, label) is bounded by the caller's row limit, which is why it may be
@@ -100,7 +105,7 @@ def training_rows(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str
     def run(batches):
         for batch in batches:
             idx_rows, count_rows = [], []
-            for _, _, idx, counts, bounds in hashed_rows(batch.column("_text"), orders, bits, shapes, strip):
+            for _, _, idx, counts, bounds in hashed_rows(batch.column("_text"), orders, bits, shapes, prefixes):
                 cuts = bounds[1:-1]
                 idx_rows += [x.astype(np.int32).tobytes() for x in np.split(idx, cuts)]
                 count_rows += [np.minimum(x, 60000).astype(np.uint16).tobytes() for x in np.split(counts, cuts)]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, features, language, quality, sharding, toxicity
+from . import chat, features, language, lzprint, neardup, packing, quality, sharding, toxicity
 from .store import table
 
 
@@ -17,6 +18,14 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprint_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op6_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
@@ -49,8 +58,17 @@ def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def vocabulary() -> tuple[str, str]:
+    """Ranks file and splitting pattern of the public byte-level BPE vocabulary."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op10_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_nnpu_toxicity, op6_incremental_chat, op7_ftrl_quality, op8_hypergeometric_shards, op9_rank_order_language)}
+    return {f.__name__: f for f in (op1_nnpu_toxicity, op3_lempel_ziv_fingerprint, op5_circulant_minhash, op6_incremental_chat, op7_ftrl_quality, op8_hypergeometric_shards, op9_rank_order_language, op10_concatenate_and_cut)}
 
 
 def oracle_sql() -> dict[str, str]:

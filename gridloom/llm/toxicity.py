@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import features
 
-ORDERS, BITS = (1,), 18
+ORDERS, PREFIXES, BITS = (1,), (3, 4, 5), 19
 
 
 def presence(idx: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -25,7 +25,7 @@ def presence(idx: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndar
     return np.ones(len(counts), dtype=np.float32)
 
 
-def evidence(positive: list, unlabelled: list, bits: int, least_z: float = 3.5, smoothing: float = 0.5) -> np.ndarray:
+def evidence(positive: list, unlabelled: list, bits: int, least_z: float = 5.0, smoothing: float = 0.5) -> np.ndarray:
     """Scale of each bucket: log ratio of its share of positive and unlabelled texts.
 
     Zero where the two shares differ by less than least_z standard errors, so that the
@@ -90,7 +90,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         prior = known.agg(F.avg("y")).first()[0] or 0.0
     toxic = features.bounded(known.filter("y = 1"), id_col, max_positive, seed).select(id_col, F.lit(1).alias("label"))
     other = features.bounded(docs.select(id_col), id_col, max_unlabelled, seed + 1).select(id_col, F.lit(0).alias("label"))
-    rows = features.training_rows(docs, toxic.unionByName(other), id_col, text_col, ORDERS, BITS, strip=True)
+    rows = features.training_rows(docs, toxic.unionByName(other), id_col, text_col, ORDERS, BITS, prefixes=PREFIXES)
     positive, unlabelled = [r for r in rows if r[1] == 1], [r for r in rows if r[1] == 0]
     if not positive or not unlabelled:
         out = np.zeros(1 << BITS)
@@ -101,4 +101,4 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def score_toxicity(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, keep columns, score in 0..1 for every whole text."""
-    return features.score_texts(docs, id_col, text_col, ORDERS, BITS, presence, weights, keep, strip=True)
+    return features.score_texts(docs, id_col, text_col, ORDERS, BITS, presence, weights, keep, prefixes=PREFIXES)
