@@ -1,10 +1,67 @@
-"""Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept.
+All but the last return the columns of documents; a document without an id is never a
+duplicate's loser and stays.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontam, neardup, packing, passages, quality, queries, store
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIN_QUALITY = 0.3
+
+#: Two stages hash word sequences and one trains by sampling, which SQL cannot express.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score MIN_QUALITY or more."""
+    weights = quality.train_quality(docs, store.table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, weights, keep=COLUMNS[1:]).filter(F.col("score") >= MIN_QUALITY).select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each component of near copies (Jaccard 0.8 or more)."""
+    found = neardup.near_duplicates(docs, percent=80)
+    losers = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(losers, "doc_id", "left_anti")
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document of smaller id has as well."""
+    return passages.without_passages(docs.select(*COLUMNS), passages.repeated_passages(docs))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = decontam.find_leaks(docs, store.table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct()
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed token sequences, with their ids."""
+    return packing.pack(docs, *queries.vocabulary(), with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and reread."""
+    docs = store.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = store.stored(docs, f"stage{i}")
+    return docs

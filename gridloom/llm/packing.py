@@ -157,23 +157,27 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         run_total += totals[part]
     shared = docs.sparkSession.sparkContext.broadcast(offsets)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-    types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
 
     def run(batches):
         place = shared.value
         for batch in batches:
-            out = []
+            out, pieces = [], []
             for doc, part, begin, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 wide = np.frombuffer(raw, dtype="<u2").astype("<u4")
                 at, n, start = place[part] + begin, len(wide), 0
                 while start < n:
                     length = min(window - (at + start) % window, n - start)
                     piece = wide[start : start + length]
-                    row = (doc, start, length, zlib.crc32(piece.tobytes()), n, (at + start) // window, (at + start) % window)
-                    out.append((*row, piece.tolist()) if with_ids else row)
+                    out.append((doc, start, length, zlib.crc32(piece.tobytes()), n, (at + start) // window, (at + start) % window))
+                    if with_ids:
+                        pieces.append(piece)
                     start += length
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                if with_ids:
+                    bounds = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(pieces).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return store.map_arrow(tokens.select("doc_id", "part", "begin", "ids"), run, schema)

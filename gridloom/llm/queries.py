@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, features, language, lzprint, neardup, packing, quality, sharding, toxicity
+from . import chat, decontam, features, language, lzprint, neardup, packing, passages, quality, sharding, toxicity
 from .store import table
 
 
@@ -18,10 +18,18 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_lempel_ziv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.fingerprint_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
@@ -68,7 +76,7 @@ def op10_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_nnpu_toxicity, op3_lempel_ziv_fingerprint, op5_circulant_minhash, op6_incremental_chat, op7_ftrl_quality, op8_hypergeometric_shards, op9_rank_order_language, op10_concatenate_and_cut)}
+    return {f.__name__: f for f in (op1_nnpu_toxicity, op2_collinear_chaining, op3_lempel_ziv_fingerprint, op4_cgk_decontamination, op5_circulant_minhash, op6_incremental_chat, op7_ftrl_quality, op8_hypergeometric_shards, op9_rank_order_language, op10_concatenate_and_cut)}
 
 
 def oracle_sql() -> dict[str, str]:
