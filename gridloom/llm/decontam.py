@@ -74,7 +74,7 @@ def _points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     """Code points of lower-cased words with one blank between, and the word index of each."""
     parts = [textcore._LOWER[data[a:b]].tobytes().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     text = " ".join(parts)
-    sizes = np.array([len(p) + 1 for p in parts])
+    sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), np.repeat(np.arange(len(parts)), sizes)[: len(text)]
 
 

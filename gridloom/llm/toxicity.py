@@ -25,7 +25,7 @@ def presence(idx: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndar
     return np.ones(len(counts), dtype=np.float32)
 
 
-def evidence(positive: list, unlabelled: list, bits: int, least_z: float = 5.0, smoothing: float = 0.5) -> np.ndarray:
+def evidence(positive: list, unlabelled: list, bits: int, least_z: float = 4.0, smoothing: float = 0.5) -> np.ndarray:
     """Scale of each bucket: log ratio of its share of positive and unlabelled texts.
 
     Zero where the two shares differ by less than least_z standard errors, so that the
