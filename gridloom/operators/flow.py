@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import D8, GridMeta
-from ..plans.lineage import MAX_ROUNDS, cut
+from ..plans.lineage import MAX_ROUNDS, cut, settled
 from . import graph, stencil, terrain
 
 
@@ -83,6 +83,7 @@ def accumulate(flow: DataFrame, meta: GridMeta, weights: DataFrame | None = None
 
     cyclic: the routing may hold cycles; their cells pass nothing on.
     """
+    flow = settled(flow)
     e = graph.edges(flow, meta)
     if cyclic:
         e = graph.without_cycles(e)
@@ -96,6 +97,7 @@ def accumulate(flow: DataFrame, meta: GridMeta, weights: DataFrame | None = None
 
 def length_down(flow: DataFrame, meta: GridMeta) -> DataFrame:
     """Path length to the outlet."""
+    flow = settled(flow)
     e = graph.edges(flow, meta)
     done = graph.fold_down(e.select("node", F.col("parent").alias("ptr"), F.col("step").alias("val")), lambda a, b: a + b)
     return _cells(flow, done, F.col("val"), "down")
@@ -103,6 +105,7 @@ def length_down(flow: DataFrame, meta: GridMeta) -> DataFrame:
 
 def length_up(flow: DataFrame, meta: GridMeta) -> DataFrame:
     """Longest path to a ridge above."""
+    flow = settled(flow)
     e = graph.edges(flow, meta)
     s = e.select("node", F.col("parent").alias("ptr"), F.col("step").alias("len"), F.lit(0.0).alias("val"))
     done = graph.fold_up(s, F.max, F.greatest, lambda v, n: v + n)
@@ -119,12 +122,14 @@ def nearest_below(e: DataFrame, marks: DataFrame) -> DataFrame:
 
 def outlet_of(flow: DataFrame, meta: GridMeta) -> DataFrame:
     """node, val: the last node of each path."""
+    flow = settled(flow)
     e = graph.edges(flow, meta)
     return graph.fold_down(e.select("node", F.col("parent").alias("ptr"), F.col("node").alias("val")), lambda a, b: b)
 
 
 def basins(flow: DataFrame, meta: GridMeta, off_grid_is_outlet: bool = True) -> DataFrame:
     """Basin ids 1.. in row-major order of the outlets; 0 elsewhere."""
+    flow = settled(flow)
     e = graph.edges(flow, meta)
     done = outlet_of(flow, meta)
     outlets = e.filter((F.col("dir") == 0) | (F.col("off") if off_grid_is_outlet else F.lit(False)))
@@ -134,6 +139,7 @@ def basins(flow: DataFrame, meta: GridMeta, off_grid_is_outlet: bool = True) ->
 
 def watersheds(flow: DataFrame, meta: GridMeta, seeds: DataFrame) -> DataFrame:
     """Label of the nearest seed downstream, the cell itself first; 0 without one. seeds: r, c, seed."""
+    flow = settled(flow)
     some = seeds.filter("seed > 0").select(graph.node(F.col("r"), F.col("c")).alias("target"), "seed")
     near = nearest_below(graph.edges(flow, meta), some.select(F.col("target").alias("node")))
     return _cells(flow, near.join(some, "target").select("node", "seed"), F.coalesce("seed", F.lit(0)).cast("long"), "watershed")
@@ -141,6 +147,7 @@ def watersheds(flow: DataFrame, meta: GridMeta, seeds: DataFrame) -> DataFrame:
 
 def watersheds_last_wins(flow: DataFrame, meta: GridMeta, points: DataFrame) -> DataFrame:
     """Largest index among all points downstream. points: r, c, k."""
+    flow = settled(flow)
     marks = points.groupBy("r", "c").agg(F.max("k").alias("k")).select(graph.node(F.col("r"), F.col("c")).alias("node"), "k")
     s = graph.edges(flow, meta).join(marks, "node", "left").select("node", F.col("parent").alias("ptr"), F.coalesce("k", F.lit(0)).cast("long").alias("val"))
     return _cells(flow, graph.fold_down(s, F.greatest), F.coalesce("val", F.lit(0)).cast("long"), "watershed")
@@ -148,6 +155,7 @@ def watersheds_last_wins(flow: DataFrame, meta: GridMeta, points: DataFrame) ->
 
 def above_stream(flow: DataFrame, meta: GridMeta, streams: DataFrame, cells: DataFrame) -> DataFrame:
     """dist and hand: path length and height to the first stream cell downstream."""
+    flow = settled(flow)
     marks = streams.filter("stream > 0").select(graph.node(F.col("r"), F.col("c")).alias("node"))
     near = nearest_below(graph.edges(flow, meta), marks).filter("target is not null")
     z = cells.select(graph.node(F.col("r"), F.col("c")).alias("target"), F.col("z").alias("tz"))
@@ -158,6 +166,7 @@ def above_stream(flow: DataFrame, meta: GridMeta, streams: DataFrame, cells: Dat
 def outlet_statistics(flow: DataFrame, meta: GridMeta, cells: DataFrame) -> DataFrame:
     """drop: height above the path's outlet; mean_slope: drop over the path length, 0 at outlets."""
     z = cells.select(graph.node(F.col("r"), F.col("c")).alias("val"), F.col("z").alias("oz"))
+    flow = settled(flow)
     ends = outlet_of(flow, meta).join(z, "val").select("node", "oz")
     down = length_down(flow, meta).select(graph.node(F.col("r"), F.col("c")).alias("node"), "down")
     own = cells.select(graph.node(F.col("r"), F.col("c")).alias("node"), "r", "c", "z")
@@ -166,6 +175,7 @@ def outlet_statistics(flow: DataFrame, meta: GridMeta, cells: DataFrame) -> Data
 
 
 def inflow_count(flow: DataFrame, meta: GridMeta) -> DataFrame:
+    flow = settled(flow)
     e = graph.edges(flow, meta)
     n = e.filter("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     return flow.select("r", "c", graph.node(F.col("r"), F.col("c")).alias("node")).join(n, "node", "left").select("r", "c", F.coalesce("n", F.lit(0)).alias("inflows"))
@@ -234,7 +244,7 @@ def accumulate_dinf(cells: DataFrame, meta: GridMeta) -> DataFrame:
 
 def indices(cells: DataFrame, meta: GridMeta) -> DataFrame:
     """twi, spi, sti and valley index from slope and D8 accumulation of the same grid."""
-    flow = d8(cells, meta)
+    flow = settled(d8(cells, meta))
     both = cut(terrain.slope(cells, meta, "radians").join(accumulate(flow, meta), ["r", "c"]))
     top = both.agg(F.max(F.degrees("slope")).alias("_top"))
     s, a = F.col("slope"), (F.col("acc") + 1.0) * meta.dx

@@ -22,10 +22,8 @@ def node(r: Column, c: Column) -> Column:
 def edges(flow: DataFrame, meta: GridMeta, code: str = "dir") -> DataFrame:
     """node, r, c, code, parent (NULL at an outlet or off the grid), step, off (leaves the grid)."""
     d = F.col(code)
-    dr, dc, step = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0.0)
-    for value, i, j in D8:
-        dr, dc = F.when(d == value, i).otherwise(dr), F.when(d == value, j).otherwise(dc)
-        step = F.when(d == value, F.lit(meta.step(i, j))).otherwise(step)
+    at = F.bit_count(d - 1)  # position of the code's bit; past the end for 0
+    dr, dc, step = (F.get(F.array(*[F.lit(x) for x in row]), at) for row in zip(*[(i, j, meta.step(i, j)) for _, i, j in D8], strict=True))
     r, c = F.col("r") + dr, F.col("c") + dc
     inside = (r >= 0) & (c >= 0) & (r < meta.rows) & (c < meta.cols)
     return flow.filter(d.isNotNull()).select(node(F.col("r"), F.col("c")).alias("node"), "r", "c", d.alias(code), F.when(inside, node(r, c)).alias("parent"), F.when(inside, step).otherwise(F.lit(0.0)).alias("step"), F.coalesce(~inside, F.lit(False)).alias("off"))

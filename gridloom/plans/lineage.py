@@ -15,3 +15,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, checkpointed unless it comes straight from a checkpoint: for grids that several
+    branches of a plan read."""
+    if getattr(df, "_settled", False):
+        return df
+    out = cut(df)
+    out._settled = True
+    return out
