@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import D8, GridMeta
-from ..plans.lineage import MAX_ROUNDS, cut
+from ..plans.lineage import MAX_ROUNDS, cut, settled
 from . import graph
 from .vector import length_of
 
@@ -42,6 +42,7 @@ def _links(e: DataFrame) -> DataFrame:
 
 
 def link_ids(flow: DataFrame, streams: DataFrame, meta: GridMeta) -> DataFrame:
+    flow = settled(flow)
     return _grid(flow, _links(stream_edges(flow, streams, meta)), "link")
 
 
@@ -58,25 +59,30 @@ def link_statistics(flow: DataFrame, streams: DataFrame, cells: DataFrame, meta:
 
 
 def strahler(flow: DataFrame, streams: DataFrame, meta: GridMeta) -> DataFrame:
-    """Strahler order, level by level on the link graph (rounds: its depth)."""
+    """Strahler order on the link graph: order k + 1 or more have the links at or below one
+    with two inflows of order k or more. Each level at least halves the links that go on;
+    rounds are the highest order times the logarithm of the depth."""
+    flow = settled(flow)
     e = stream_edges(flow, streams, meta)
     link = cut(_links(e).filter("link > 0"))
     below = link.select(F.col("node").alias("down"), F.col("link").alias("next"))
-    hops = cut(e.join(link, "node").join(below, "down").filter("next <> link").select("link", "next").distinct())
-    heads = link.select("link").distinct()
-    need = hops.groupBy(F.col("next").alias("link")).agg(F.count(F.lit(1)).alias("need"))
-    done = cut(heads.join(need, "link", "left_anti").select("link", F.lit(1).alias("strahler")))
-    for _ in range(100 * MAX_ROUNDS):
-        ready = hops.join(done, "link").groupBy(F.col("next").alias("link")).agg(F.max("strahler").alias("top"), F.count(F.lit(1)).alias("got"), F.sort_array(F.collect_list("strahler"), asc=False).alias("all"))
-        new = ready.join(need.filter("need > 0"), "link").filter("got = need").join(done, "link", "left_anti").select("link", F.when(F.expr("size(all) > 1 and all[0] = all[1]"), F.col("top") + 1).otherwise(F.col("top")).cast("int").alias("strahler"))
-        new = cut(new)
-        if new.limit(1).count() == 0:
+    hops = e.join(link, "node").join(below, "down").filter("next <> link").groupBy("link").agg(F.min("next").alias("next"))
+    live = cut(link.select("link").distinct().join(hops, "link", "left").select(F.col("link").cast("long").alias("node"), F.col("next").cast("long").alias("ptr")))
+    levels = live.select(F.col("node").cast("int").alias("link"), F.lit(1).alias("strahler"))
+    for k in range(2, MAX_ROUNDS):
+        joints = live.filter("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("node", F.lit(1).alias("_j"))
+        state = cut(live.join(joints, "node", "left").select("node", "ptr", F.lit(0.0).alias("len"), F.coalesce("_j", F.lit(0)).alias("val")))
+        if state.filter("val = 1").limit(1).count() == 0:
             break
-        done = cut(done.unionByName(new))
+        higher = graph.fold_up(state, F.max, F.greatest).filter("val = 1").select("node")
+        live = cut(live.join(higher, "node", "left_semi"))
+        levels = levels.unionByName(live.select(F.col("node").cast("int").alias("link"), F.lit(k).alias("strahler")))
+    done = levels.groupBy("link").agg(F.max("strahler").alias("strahler"))
     return _grid(flow, link.join(done, "link").select("node", "strahler"), "strahler")
 
 
 def shreve(flow: DataFrame, streams: DataFrame, meta: GridMeta) -> DataFrame:
+    flow = settled(flow)
     e = stream_edges(flow, streams, meta)
     s = e.select("node", F.col("down").alias("ptr"), F.lit(0.0).alias("len"), F.when(F.col("inflow") == 0, 1).otherwise(0).cast("long").alias("val"))
     return _grid(flow, graph.fold_up(s, F.sum, lambda a, b: a + b).withColumnRenamed("val", "shreve"), "shreve", "long")
@@ -95,6 +101,7 @@ def _main_edges(e: DataFrame, acc: DataFrame) -> DataFrame:
 
 def hack(flow: DataFrame, streams: DataFrame, acc: DataFrame, meta: GridMeta) -> DataFrame:
     """1 on the main stem, one more at each turn off it."""
+    flow = settled(flow)
     e = _main_edges(stream_edges(flow, streams, meta), acc)
     s = e.select("node", F.col("down").alias("ptr"), F.when(F.col("down").isNull(), 1).when(F.col("main"), 0).otherwise(1).alias("val"))
     return _grid(flow, graph.fold_down(s, lambda a, b: a + b).withColumnRenamed("val", "hack"), "hack")
@@ -106,6 +113,7 @@ def main_stem(flow: DataFrame, streams: DataFrame, acc: DataFrame, meta: GridMet
 
 def horton(flow: DataFrame, streams: DataFrame, acc: DataFrame, meta: GridMeta) -> DataFrame:
     """Strahler order of the cell where the stem begins (outlet, or turn off a larger stem)."""
+    flow = settled(flow)
     e = _main_edges(stream_edges(flow, streams, meta), acc)
     order = strahler(flow, streams, meta).select(graph.node(F.col("r"), F.col("c")).alias("node"), "strahler")
     s = e.join(order, "node").select("node", F.when(F.col("main"), F.col("down")).alias("ptr"), F.col("strahler").alias("val"))

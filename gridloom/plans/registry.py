@@ -152,7 +152,7 @@ _BOTH = f"{o.d8()}, {o.walk()}, t AS (SELECT r, c, max(len) AS u FROM walk GROUP
 
 
 def _lengths(z, m):
-    f = flow.d8(z, m)
+    f = flow.settled(flow.d8(z, m))
     return flow.length_up(f, m).join(flow.length_down(f, m), ["r", "c"])
 
 
@@ -205,7 +205,7 @@ add("tiles_map", on_dem(lambda z, m: tiles.map_tiles(z, m, lambda a: a * 2.0, ti
 
 # stream networks
 def _net(z, m):
-    f = flow.cut(flow.d8(z, m))
+    f = flow.settled(flow.d8(z, m))
     a = flow.cut(flow.accumulate(f, m))
     return f, a, streams.extract(a, 5.0)
 
