@@ -231,7 +231,7 @@ def accumulate_fd8(cells: DataFrame, meta: GridMeta, exponent: float = 1.1) -> D
 
 def accumulate_dinf(cells: DataFrame, meta: GridMeta) -> DataFrame:
     """Accumulation split between the two neighbours that enclose the facet angle."""
-    a = dinf(cells, meta).filter("angle >= 0").withColumn("k", F.floor(F.col("angle") / (pi / 4)).cast("int")).withColumn("t", F.col("angle") / (pi / 4) - F.col("k"))
+    a = cut(dinf(cells, meta)).filter("angle >= 0").withColumn("k", F.floor(F.col("angle") / (pi / 4)).cast("int")).withColumn("t", F.col("angle") / (pi / 4) - F.col("k"))
     ring = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
     at = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i, j in ring])
     both = F.array(F.struct(at[F.col("k") % 8].alias("o"), (1.0 - F.col("t")).alias("share")), F.struct(at[(F.col("k") + 1) % 8].alias("o"), F.col("t").alias("share")))
