@@ -80,6 +80,18 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_near_short_shared_phrases(spark):
+    rng = random.Random(16)
+    for n in (9, 12, 16):  # a shared line, n other words on both sides, then the passage
+        line, passage = sentence(rng, 12), sentence(rng, 60)
+        docs = [(1, f"{sentence(rng, 80)} {line} {sentence(rng, n)} {passage} {sentence(rng, 40)}", "a"), (2, f"{sentence(rng, 33)} {line} {sentence(rng, n)} {passage} {sentence(rng, 40)}", "a")]
+        found = [(r["first_word"], r["end_word"]) for r in passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()]
+        assert len(found) == 1 and found[0][0] <= 45 + n and found[0][1] == 105 + n
+    x, y, same, line = (np.arange(k, k + 200) for k in (1000, 2000, 3000, 4000))
+    x, y = (np.concatenate([z[:10], same[:52], z[10:32], line[:12], z[32:50]]) for z in (x, y))
+    assert passages.align(x, y, [(10, 62, 10), (84, 96, 84)], 48, 0.8) == passages.align(x, y, [(10, 96, 10)], 48, 0.8) == [(10, 62, 10, 62, 52)]
+
+
 def test_chains_score_like_brute_force():
     rng = random.Random(2)
     for _ in range(40):
