@@ -92,6 +92,30 @@ def test_passages_near_short_shared_phrases(spark):
     assert passages.align(x, y, [(10, 62, 10), (84, 96, 84)], 48, 0.8) == passages.align(x, y, [(10, 96, 10)], 48, 0.8) == [(10, 62, 10, 62, 52)]
 
 
+@pytest.mark.parametrize("every", [5, 6, 8])
+def test_fuzzy_passages_are_found(spark, every):
+    rng = random.Random(every)
+    docs, edited = [], {}
+    for i in range(100):
+        words = sentence(rng, 60, 10**6).split()
+        fuzzy = [w for k, x in enumerate(words) for w in ([x] if (k + 1) % every else rng.choice([["new"], [], [x, "new"]] if every > 5 else [["new"]]))]
+        docs.append((i, f"{sentence(rng, 50, 10**6)} {' '.join(words)} {sentence(rng, 50, 10**6)}", "a"))
+        docs.append((1000 + i, f"{sentence(rng, 40, 10**6)} {' '.join(fuzzy)} {sentence(rng, 70, 10**6)}", "a"))
+        edited[1000 + i] = i
+    got = {(r["doc_id"], r["origin_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got <= set(edited.items()) and len(got) >= 95
+
+
+def test_passage_behind_an_unrelated_first_origin(spark):
+    rng = random.Random(21)
+    passage = sentence(rng, 60, 10**6).split()
+    scattered = " ".join(" ".join(passage[i : i + 6]) + " " + sentence(rng, 90, 10**6) for i in range(60))
+    fuzzy = [w if (i + 1) % 10 else "new" for i, w in enumerate(passage)]
+    docs = [(0, scattered, "a"), (1, " ".join(passage), "a"), (2, " ".join(fuzzy), "a")]
+    got = {(r["doc_id"], r["origin_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {(2, 1)}
+
+
 def test_chains_score_like_brute_force():
     rng = random.Random(2)
     for _ in range(40):
