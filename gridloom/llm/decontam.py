@@ -128,11 +128,13 @@ class Items:
             self.what.append(np.concatenate(what[r])[order] if keys[r] else np.zeros((0, 2), dtype=np.int64))
         self.classes = [c for c in CLASSES if any(c <= n - STRIDE + 1 for n in self.sizes if n >= MIN_WORDS)]
 
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Distinct (item, word where the item would begin) over all windows of h."""
+    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct (item, word where the item would begin, row of the window that matched)
+        over all windows of h."""
         if not self.classes:
-            return np.zeros((0, 2), dtype=np.int64)
-        starts, out = np.arange(0, len(h), STRIDE), []
+            return np.zeros((0, 3), dtype=np.int64)
+        starts, out = np.arange(0, len(h), STRIDE), set()
+        rows = np.searchsorted(bounds, starts, side="right") - 1
         for r in range(REPEATS):
             keys = self.keys[r]
             for found in walks(h, starts, r, self.classes[-1])[0].values():
@@ -141,8 +143,8 @@ class Items:
                 for i in hit:
                     for e in range(int(left[i]), int(np.searchsorted(keys, found[i], side="right"))):
                         item, offset = self.what[r][e]
-                        out.append((int(item), int(starts[i]) - int(offset)))
-        return np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 2)
+                        out.add((int(item), int(starts[i]) - int(offset), int(rows[i])))
+        return np.array(sorted(out), dtype=np.int64).reshape(-1, 3)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", tolerance: float = 0.2) -> DataFrame:
@@ -163,11 +165,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             for batch in batches:
                 ids, out = batch.column("_id"), []
                 for a, _, data, starts, ends, h, bounds in _normal(batch.column("_text")):
-                    found = index.candidates(h)
-                    row = np.searchsorted(bounds, np.maximum(found[:, 1], 0) + STRIDE, side="right") - 1
-                    for i in np.unique(row).tolist():
-                        if i < len(bounds) - 1:
-                            out += [(ids[a + i].as_py(), *leak) for leak in verified(index, found[row == i], data, starts, ends, int(bounds[i]), int(bounds[i + 1]))]
+                    found = index.candidates(h, bounds)
+                    for i in np.unique(found[:, 2]).tolist():
+                        out += [(ids[a + i].as_py(), *leak) for leak in verified(index, found[found[:, 2] == i], data, starts, ends, int(bounds[i]), int(bounds[i + 1]))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 

@@ -146,6 +146,14 @@ def test_leaks(spark):
     assert set(got) == {(1, 0), (2, 6), (6, 8)} and got[1, 0] == got[6, 8] == 0 < got[2, 6]
 
 
+def test_leak_in_a_document_that_begins_inside_an_item(spark):
+    rng = random.Random(13)
+    items = [(i, sentence(rng, 50)) for i in range(20)]
+    docs = [(j, f"{' '.join(t.split()[8:])} {sentence(rng, 40 + j % 7)}" if j % 2 else sentence(rng, 60 + j), "a") for j, (_, t) in enumerate(x for item in items for x in (item, item))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(2 * i + 1, i) for i in range(20)}
+
+
 def test_edit_distance_of_best_place():
     rng = random.Random(4)
 
