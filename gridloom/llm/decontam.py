@@ -4,7 +4,8 @@ The CGK random walk reads a sequence of words: at step j it notes the word under
 pointer and moves on if bit j of that word's random code is one. Two sequences at a small
 edit distance meet again after each edit, so their walks agree in most places: edit
 distance has become Hamming distance. A repetition samples places of the walk and hashes
-what was noted there.
+what was noted there; each length class has as many as find RECALL of its items when
+`tolerance` of their words is edited (`repetitions`).
 
 Windows have the size of the items: items fall into length classes, and an item's class
 sets how long its walks are and from which places they are sampled. Documents are walked
@@ -20,6 +21,9 @@ are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from . import store, textcore
 
-STRIDE, REPEATS, SAMPLES, MIN_WORDS = 4, 6, 6, 9
+STRIDE, SAMPLES, MIN_WORDS = 4, 4, 9
+RECALL, TRIALS, MOST_REPEATS = 0.95, 1000, 256
 CLASSES = (6, 12, 20, 32, 48)
 ITEMS_PER_PASS = 20_000
 _STEPS = {w: w * 4 // 3 for w in CLASSES}
@@ -40,14 +45,14 @@ def _places(repeat: int) -> dict[int, np.ndarray]:
     return {w: np.sort(rng.choice(_STEPS[w], SAMPLES, replace=False)) for w in CLASSES}
 
 
-def walks(h: np.ndarray, starts: np.ndarray, repeat: int, longest: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+def walks(h: np.ndarray, starts: np.ndarray, repeat: int, classes) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
     """Sample hash of each class for walks over h from each start, and the last word each read."""
-    places = {w: set(p.tolist()) for w, p in _places(repeat).items() if w <= longest}
+    places = {w: set(p.tolist()) for w, p in _places(repeat).items() if w in classes}
     last = {w: max(p) for w, p in places.items()}
-    padded = np.concatenate([h, np.zeros(_STEPS[longest] + 1, dtype=np.uint64)])
+    padded = np.concatenate([h, np.zeros(_STEPS[max(classes)] + 1, dtype=np.uint64)])
     codes = textcore.mix64(padded ^ np.uint64(0xC2B2AE3D27D4EB4F + repeat))
     at = starts.astype(np.int64)
-    found = {w: np.full(len(starts), np.uint64(w * 64 + repeat)) for w in places}
+    found = {w: np.full(len(starts), np.uint64(w * 1024 + repeat)) for w in places}
     read = {}
     for step in range(max(last.values()) + 1):
         for w, p in places.items():
@@ -60,6 +65,50 @@ def walks(h: np.ndarray, starts: np.ndarray, repeat: int, longest: int) -> tuple
     return found, read
 
 
+@lru_cache
+def repetitions(w: int, tolerance: float, recall: float = RECALL) -> int:
+    """Repetitions after which `recall` of a class's items share a sample with a window.
+
+    Items of the class's least lengths, which have the fewest windows, get `tolerance` of
+    their words replaced, dropped or followed by a new one at random places, at any phase
+    of the grid.
+    """
+    rng = np.random.default_rng(w)
+    sizes = max(MIN_WORDS, w + STRIDE - 1) + np.arange(STRIDE)
+    items, copies, item_of, begins, grid_of, grid = [], [], [], [], [], []
+    at = place = 0
+    for t in range(TRIALS):
+        n = int(sizes[t % len(sizes)])
+        item = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        copy = [[x] for x in item.tolist()]
+        for k in rng.choice(n, int(round(tolerance * n)), replace=False).tolist():
+            new = int(rng.integers(0, 1 << 63))
+            copy[k] = ([new], [], [copy[k][0], new])[int(rng.integers(3))]
+        copy = [x for part in copy for x in part]
+        around = rng.integers(0, 1 << 63, 2 * w + 2 * STRIDE, dtype=np.uint64)
+        lead = int(rng.integers(STRIDE))
+        points = np.arange(-lead % STRIDE, len(copy), STRIDE)
+        items.append(np.append(item, around[: 2 * w]))
+        copies.append(np.append(np.array(copy, dtype=np.uint64), around))
+        begins.append(at + np.arange(n - w + 1))
+        item_of.append(np.stack([np.full(n - w + 1, t), np.full(n - w + 1, at + n)]))
+        grid.append(place + points)
+        grid_of.append(np.full(len(points), t))
+        at, place = at + len(items[-1]), place + len(copies[-1])
+    h, other, begins, grid, grid_of = (np.concatenate(x) for x in (items, copies, begins, grid, grid_of))
+    item_of, stop = np.concatenate(item_of, axis=1)
+    found = np.zeros(TRIALS, dtype=bool)
+    for r in range(MOST_REPEATS):
+        keys, read = walks(h, begins, r, [w])
+        good = read[w] < stop
+        mine = keys[w] ^ textcore.mix64(item_of.astype(np.uint64))
+        theirs = walks(other, grid, r, [w])[0][w] ^ textcore.mix64(grid_of.astype(np.uint64))
+        found[grid_of[np.isin(theirs, mine[good])]] = True
+        if found.mean() >= recall:
+            return r + 1
+    return MOST_REPEATS
+
+
 def _normal(column: pa.Array):
     """Per row range: bytes, stripped word starts and ends, word hashes, row bounds."""
     data, offsets = textcore.flat(column)
@@ -100,11 +149,12 @@ def best_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """Sample hashes of all items at all offsets, sorted, with what they stand for."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], tolerance: float):
         self.ids, self.points, self.sizes = ids, [], []
         column = pa.array(texts, pa.string())
-        keys: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
-        what: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
+        self.repeats: dict[int, int] = {}
+        keys: dict[int, list[np.ndarray]] = defaultdict(list)
+        what: dict[int, list[np.ndarray]] = defaultdict(list)
         for a, b, data, starts, ends, h, bounds in _normal(column):
             for i in range(a, b):
                 x, y = int(bounds[i - a]), int(bounds[i - a + 1])
@@ -115,29 +165,28 @@ class Items:
                     continue
                 w = max(c for c in CLASSES if c <= n - STRIDE + 1)
                 offsets = np.arange(n - w + 1)
-                for r in range(REPEATS):
-                    found, read = walks(h[x:y], offsets, r, w)
+                self.repeats[w] = repetitions(w, tolerance)
+                for r in range(self.repeats[w]):
+                    found, read = walks(h[x:y], offsets, r, [w])
                     good = read[w] < n  # the walk stayed inside the item
                     keys[r].append(found[w][good])
-                    what[r].append(np.stack([np.full(int(good.sum()), i), offsets[good]], axis=1))
+                    what[r].append(np.stack([np.full(int(good.sum()), i), offsets[good]], axis=1).astype(np.int32))
         self.keys, self.what = [], []
-        for r in range(REPEATS):
-            k = np.concatenate(keys[r]) if keys[r] else np.zeros(0, dtype=np.uint64)
+        for r in range(len(keys)):
+            k = np.concatenate(keys[r])
             order = np.argsort(k, kind="stable")
             self.keys.append(k[order])
-            self.what.append(np.concatenate(what[r])[order] if keys[r] else np.zeros((0, 2), dtype=np.int64))
-        self.classes = [c for c in CLASSES if any(c <= n - STRIDE + 1 for n in self.sizes if n >= MIN_WORDS)]
+            self.what.append(np.concatenate(what[r])[order])
 
     def candidates(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Distinct (item, word where the item would begin, row of the window that matched)
         over all windows of h."""
-        if not self.classes:
+        if not self.keys:
             return np.zeros((0, 3), dtype=np.int64)
         starts, out = np.arange(0, len(h), STRIDE), set()
         rows = np.searchsorted(bounds, starts, side="right") - 1
-        for r in range(REPEATS):
-            keys = self.keys[r]
-            for found in walks(h, starts, r, self.classes[-1])[0].values():
+        for r, keys in enumerate(self.keys):
+            for found in walks(h, starts, r, [w for w, n in self.repeats.items() if r < n])[0].values():
                 left = np.searchsorted(keys, found)
                 hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == found) if len(keys) else ()
                 for i in hit:
@@ -190,7 +239,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     out = None
     for i in range(0, max(1, len(rows)), ITEMS_PER_PASS):
         part = rows[i : i + ITEMS_PER_PASS]
-        index = Items([int(x) for x, _ in part], [t for _, t in part])
+        index = Items([int(x) for x, _ in part], [t for _, t in part], tolerance)
         found = store.map_arrow(slim, search(spark.sparkContext.broadcast(index)), schema)
         out = found if out is None else out.unionByName(found)
     return out

@@ -154,6 +154,22 @@ def test_leak_in_a_document_that_begins_inside_an_item(spark):
     assert got == {(2 * i + 1, i) for i in range(20)}
 
 
+@pytest.mark.parametrize("low, high", [(15, 20), (20, 40), (40, 70)])
+def test_leaks_at_tolerance_are_found(spark, low, high):
+    rng = random.Random(low)
+    word = lambda: f"w{rng.randrange(10**5, 10**6)}"
+    items, docs = [], []
+    for i in range(200):
+        words = [word() for _ in range(rng.randrange(low, high))]
+        edited = [[x] for x in words]
+        for k in rng.sample(range(len(words)), len(words) // 5):
+            edited[k] = rng.choice([[word()], []])
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join([*(word() for _ in range(rng.randrange(30))), *itertools.chain(*edited), *(word() for _ in range(30))]), "a"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(i == j for i, j in got) and len(got) >= 190
+
+
 def test_edit_distance_of_best_place():
     rng = random.Random(4)
 
