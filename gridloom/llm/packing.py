@@ -85,7 +85,8 @@ class Encoder:
         place, names = self.place, keys.tolist()
         slots = np.fromiter((place.get(k, -1) for k in names), dtype=np.int64, count=len(names))
         new = np.flatnonzero(slots < 0)
-        joined = new[space[starts[first[new]]]]  # these begin with a space, so they can be encoded in one string
+        alone = ~space[starts[first[new]]] | space[ends[first[new]] - 1]  # white space alone would join with the next chunk's
+        joined = new[~alone]  # these begin with a space and end with none, so they can be encoded in one string
         if len(joined):
             a, b = starts[first[joined]], ends[first[joined]]
             raw = data.tobytes()
@@ -93,7 +94,7 @@ class Encoder:
             ids = np.array(self.encoding.encode_ordinary(text), dtype=np.uint16)
             at = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(b - a), side="left") + 1
             self._store([names[k] for k in joined.tolist()], ids, at)
-        for k in new[~space[starts[first[new]]]].tolist():
+        for k in new[alone].tolist():
             ids = np.array(self.encoding.encode_ordinary(data[starts[first[k]] : ends[first[k]]].tobytes().decode("utf-8")), dtype=np.uint16)
             self._store([names[k]], ids, np.array([len(ids)]))
         slots[new] = [place[names[k]] for k in new.tolist()]

@@ -278,6 +278,14 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), *queries.vocabulary()).count() == 0
 
 
+def test_trailing_white_space_is_encoded_alone():
+    encode = packing.Encoder(*queries.vocabulary())
+    for end, begin in itertools.product(("\n", "\n\n", " ", "\t \n"), ("\n\nfoo", "  bar", "\n \n\tbaz", "\n\nThe", "   qux")):
+        encode.empty()  # a block of two chunks beside x
+        texts = ["x" + end, "x" + begin]
+        assert [i.tolist() for i in encode.texts(pa.array(texts))] == [encode.encoding.encode_ordinary(t) for t in texts]
+
+
 def test_language(spark):
     rows = [(1, "the cat and the dog and the house", "en"), (2, "der hund und die katze und das haus", "de"), (3, None, "en"), (4, "123 !?", "de"), (5, "the end", None)]
     df = spark.createDataFrame(rows, DOCS)
