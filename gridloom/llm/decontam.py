@@ -14,9 +14,12 @@ so that a leak at any place meets a grid point. A document's windows that share
 with an item are verified: the item's edit distance (code points of the lower-cased words)
 to its best place in the document there must be at most `tolerance` of its length.
 
-Rules: null and empty texts and items match nothing; items below MIN_WORDS words are too
-short to tell from chance and are left out. Repeated rows are judged each. Extra columns
-are ignored.
+Units are words, or code points without white space for items with few blanks (scripts
+that write none, long words). Items below MIN_WORDS units are too short for walks: every
+exact occurrence is found by hashes of all runs of their length, and verified likewise.
+
+Rules: null and empty texts and items match nothing. Repeated rows are judged each. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ STRIDE, SAMPLES, MIN_WORDS = 4, 4, 9
 RECALL, TRIALS, MOST_REPEATS = 0.95, 1000, 256
 CLASSES = (6, 12, 20, 32, 48)
 ITEMS_PER_PASS = 20_000
+POINTS = 16
+#: South-east Asian scripts, kana, Han and their marks.
+UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3130), (0x31A0, 0xA000), (0xF900, 0xFB00), (0xFE30, 0xFE50), (0xFF00, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x32000))
 _STEPS = {w: w * 4 // 3 for w in CLASSES}
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
@@ -109,14 +115,56 @@ def repetitions(w: int, tolerance: float, recall: float = RECALL) -> int:
     return MOST_REPEATS
 
 
-def _normal(column: pa.Array):
-    """Per row range: bytes, stripped word starts and ends, word hashes, row bounds."""
+class Words:
+    """The words of a block of rows as units: their hashes `h` and the rows' `bounds`."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, self.bounds = textcore.words(data, offsets)
+        self.data, (self.starts, self.ends) = data, textcore.stripped(data, starts, ends)
+        self.h = textcore.segment_hashes(data, self.starts, self.ends, lower=True)
+
+    def region(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of units x to y, and the unit of each less x."""
+        return _points(self.data, self.starts[x:y], self.ends[x:y])
+
+    def word(self, unit: int, row: int) -> int:
+        """Number in its row of the word a unit is in."""
+        return unit - int(self.bounds[row])
+
+
+class Points:
+    """The code points of the lower-cased words of a block of rows as units."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, first = textcore.words(data, offsets)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        codes = np.frombuffer(textcore._LOWER[data].tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        inside = ~textcore._SPACE[data[lead]]
+        self.codes, lead = codes[inside], lead[inside]
+        self.bounds = np.searchsorted(lead, offsets).astype(np.int64)
+        self.of, self.first = np.searchsorted(starts, lead, side="right") - 1, first
+        self.h = textcore.mix64(self.codes.astype(np.uint64) + np.uint64(1))
+
+    def region(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.codes[x:y], np.arange(y - x)
+
+    def word(self, unit: int, row: int) -> int:
+        return int(self.of[unit]) - int(self.first[row])
+
+
+def unit_of(text: str) -> type:
+    """Points for texts of few blanks: POINTS code points a word or more, or mostly of
+    scripts that write no blanks."""
+    words = text.split()
+    codes = [ord(c) for w in words for c in w]
+    bare = sum(any(a <= c < b for a, b in UNSPACED) for c in codes)
+    return Points if len(codes) >= POINTS * len(words) or 2 * bare > len(codes) else Words
+
+
+def _blocks(column: pa.Array, unit: type):
     data, offsets = textcore.flat(column)
     for a, b in textcore.blocks(offsets):
-        part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, ends, bounds = textcore.words(part, local)
-        starts, ends = textcore.stripped(part, starts, ends)
-        yield a, b, part, starts, ends, textcore.segment_hashes(part, starts, ends, lower=True), bounds
+        yield a, b, unit(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def _points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,22 +194,39 @@ def best_place(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(begin[end]), end
 
 
+def may_hold(item: np.ndarray, region: np.ndarray, most: int) -> bool:
+    """False if no substring of the region is within `most` edits of the item: an edit
+    destroys at most q of its q-grams, and all others occur in the region."""
+    for q in (2, 3, 4):
+        if min(len(item), len(region)) < q:
+            continue
+        a, b = (sum(x[i : len(x) - q + 1 + i].astype(np.uint64) << np.uint64(16 * i) for i in range(q)) for x in (item, region))
+        if int(np.isin(a, b).sum()) < len(a) - q * most:
+            return False
+    return True
+
+
 class Items:
-    """Sample hashes of all items at all offsets, sorted, with what they stand for."""
+    """Sample hashes of all items at all offsets, and hashes of whole short items; sorted,
+    with what they stand for."""
 
-    def __init__(self, ids: list[int], texts: list[str], tolerance: float):
-        self.ids, self.points, self.sizes = ids, [], []
+    def __init__(self, ids: list[int], texts: list[str], tolerance: float, unit: type = Words):
+        self.ids, self.unit, self.points, self.sizes = ids, unit, [], []
+        short: dict[int, list[tuple[int, int]]] = defaultdict(list)
         column = pa.array(texts, pa.string())
         self.repeats: dict[int, int] = {}
         keys: dict[int, list[np.ndarray]] = defaultdict(list)
         what: dict[int, list[np.ndarray]] = defaultdict(list)
-        for a, b, data, starts, ends, h, bounds in _normal(column):
+        for a, b, seen in _blocks(column, unit):
+            h, bounds = seen.h, seen.bounds
             for i in range(a, b):
                 x, y = int(bounds[i - a]), int(bounds[i - a + 1])
                 n = y - x
                 self.sizes.append(n)
-                self.points.append(_points(data, starts[x:y], ends[x:y])[0])
+                self.points.append(seen.region(x, y)[0])
                 if n < MIN_WORDS:
+                    if n:
+                        short[n].append((int(textcore.ngrams(h[x:y], np.array([0, n]), n)[0][0]), i))
                     continue
                 w = max(c for c in CLASSES if c <= n - STRIDE + 1)
                 offsets = np.arange(n - w + 1)
@@ -177,12 +242,11 @@ class Items:
             order = np.argsort(k, kind="stable")
             self.keys.append(k[order])
             self.what.append(np.concatenate(what[r])[order])
+        self.short = {n: tuple(np.array(c, dtype=t) for c, t in zip(zip(*sorted(found), strict=True), (np.uint64, np.int32), strict=True)) for n, found in short.items()}
 
     def candidates(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (item, word where the item would begin, row of the window that matched)
+        """Distinct (item, unit where the item would begin, row of the window that matched)
         over all windows of h."""
-        if not self.keys:
-            return np.zeros((0, 3), dtype=np.int64)
         starts, out = np.arange(0, len(h), STRIDE), set()
         rows = np.searchsorted(bounds, starts, side="right") - 1
         for r, keys in enumerate(self.keys):
@@ -193,6 +257,13 @@ class Items:
                     for e in range(int(left[i]), int(np.searchsorted(keys, found[i], side="right"))):
                         item, offset = self.what[r][e]
                         out.add((int(item), int(starts[i]) - int(offset), int(rows[i])))
+        for n, (keys, item) in self.short.items():
+            g, own = textcore.ngrams(h, bounds, n)
+            left, right = np.searchsorted(keys, g), np.searchsorted(keys, g, side="right")
+            for i in np.flatnonzero(right > left).tolist():
+                row = int(np.searchsorted(own, i, side="right")) - 1
+                begin = i - int(own[row]) + int(bounds[row])
+                out.update((int(k), begin, row) for k in item[left[i] : right[i]])
         return np.array(sorted(out), dtype=np.int64).reshape(-1, 3)
 
 
@@ -213,33 +284,50 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             index = shared.value
             for batch in batches:
                 ids, out = batch.column("_id"), []
-                for a, _, data, starts, ends, h, bounds in _normal(batch.column("_text")):
-                    found = index.candidates(h, bounds)
+                for a, _, seen in _blocks(batch.column("_text"), index.unit):
+                    found = index.candidates(seen.h, seen.bounds)
                     for i in np.unique(found[:, 2]).tolist():
-                        out += [(ids[a + i].as_py(), *leak) for leak in verified(index, found[found[:, 2] == i], data, starts, ends, int(bounds[i]), int(bounds[i + 1]))]
+                        out += [(ids[a + i].as_py(), *leak) for leak in verified(index, found[found[:, 2] == i], seen, i)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
         return run
 
-    def verified(index, found, data, starts, ends, low, high):
+    def verified(index, found, seen, row):
+        low, high = int(seen.bounds[row]), int(seen.bounds[row + 1])
         for item in np.unique(found[:, 0]).tolist():
             n, points, covered = index.sizes[item], index.points[item], low - 1
-            for begin in np.sort(found[found[:, 0] == item, 1]).tolist():
-                slack = 4 + n // 4
-                x, y = max(low, begin - slack), min(high, begin + n + slack)
-                if begin + n // 2 <= covered or y <= x:
+            slack = 4 + n // 4 if n >= MIN_WORDS else 0  # short ones match exactly
+            begins, k = np.unique(found[found[:, 0] == item, 1]).tolist(), 0
+            while k < len(begins):
+                begin = last = begins[k]
+                k += 1
+                x = max(low, begin - slack)
+                if begin + n // 2 <= covered or min(high, begin + n + slack) <= x:
+                    continue
+                after = k
+                while after < len(begins) and begins[after] - begin <= slack // 2:
+                    last, after = begins[after], after + 1
+                region, unit = seen.region(x, min(high, last + n + slack))
+                most = int(tolerance * len(points) + 1e-9)
+                if not may_hold(points, region, most):
+                    k = after
                     continue
-                region, word = _points(data, starts[x:y], ends[x:y])
                 distance, a, b = best_place(points, region)
                 if distance <= tolerance * len(points) and b > a:
-                    covered = x + int(word[b - 1])
-                    yield index.ids[item], x + int(word[a]) - low, covered - low, distance, len(points)
+                    covered = x + int(unit[b - 1])
+                    yield index.ids[item], seen.word(x + int(unit[a]), row), seen.word(covered, row), distance, len(points)
+                else:
+                    k = after
 
     out = None
     for i in range(0, max(1, len(rows)), ITEMS_PER_PASS):
         part = rows[i : i + ITEMS_PER_PASS]
-        index = Items([int(x) for x, _ in part], [t for _, t in part], tolerance)
-        found = store.map_arrow(slim, search(spark.sparkContext.broadcast(index)), schema)
-        out = found if out is None else out.unionByName(found)
+        kinds = [unit_of(t) for _, t in part]
+        for unit in (Words, Points):
+            own = [x for x, k in zip(part, kinds, strict=True) if k is unit]
+            if own or (unit is Words and out is None):
+                index = Items([int(x) for x, _ in own], [t for _, t in own], tolerance, unit)
+                found = store.map_arrow(slim, search(spark.sparkContext.broadcast(index)), schema)
+                out = found if out is None else out.unionByName(found)
     return out

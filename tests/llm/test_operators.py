@@ -170,6 +170,17 @@ def test_leaks_at_tolerance_are_found(spark, low, high):
     assert all(i == j for i, j in got) and len(got) >= 190
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    rng = random.Random(17)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = [(1, "Seven short words are in this item"), (2, "Paris!"), (3, han(60)), (4, han(5)), (5, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-/", k=120)))]
+    wrong = items[2][1]
+    wrong = f"{wrong[:20]}x{wrong[21:40]} {wrong[41:]}"
+    docs = [(1, sentence(rng, 40) + " seven SHORT words, are in this item. " + sentence(rng, 9), "a"), (2, "to paris and back", "a"), (3, han(70) + wrong + han(33), "a"), (4, han(11) + items[3][1] + han(20), "a"), (5, sentence(rng, 8) + " a" + items[4][1] + " " + sentence(rng, 5), "a"), (6, "seven short words are not in this item", "a"), (7, han(300), "a")]
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["last_word"], r["distance"]) for r in decontam.find_leaks(spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (40, 46, 0), (2, 2): (1, 1, 0), (3, 3): (0, 1, 2), (4, 4): (0, 0, 0), (5, 5): (8, 8, 0)}
+
+
 def test_edit_distance_of_best_place():
     rng = random.Random(4)
 
