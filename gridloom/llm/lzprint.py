@@ -1,8 +1,7 @@
 """Lempel-Ziv phrase fingerprints.
 
-A text is cut into units: white space begins a run, and each run is cut every eight code
-points. It is then parsed into dictionary phrases (LZ78: each phrase is the shortest run
-of units not met as a phrase before). The set of phrases is hashed and its minimum-hash
+A text is parsed into dictionary phrases (LZ78: each phrase is the shortest run of code
+points not met as a phrase before). The set of phrases is hashed and its minimum-hash
 signature is the fingerprint; the share of equal coordinates estimates the Jaccard
 likeness of two phrase sets, which follows how well one text compresses given the other.
 
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from . import store, textcore
 
 COORDINATES = 64
-UNIT = 8
 
 _rng = np.random.default_rng(64)
 _A = _rng.integers(1, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -31,23 +29,8 @@ _B = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
 
 def units(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the units of a text in code points, and a 36-bit code of each unit's content."""
-    n = len(points)
-    if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    space = (points == 32) | ((points >= 9) & (points <= 13))
-    run = np.zeros(n, dtype=bool)
-    run[0] = True
-    run[1:] = space[1:] & ~space[:-1]
-    at = np.arange(n)
-    begin = np.maximum.accumulate(np.where(run, at, 0))
-    starts = np.flatnonzero((at - begin) % UNIT == 0)
-    ends = np.append(starts[1:], n)
-    power, inverse = textcore._power_tables(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    code = textcore.mix64((total[ends] - total[starts]) * inverse[starts])
-    return ends, (code >> np.uint64(28)).astype(np.int64)
+    """Ends of the units of a text, its single code points, and the code of each."""
+    return np.arange(1, len(points) + 1, dtype=np.int64), points.astype(np.int64)
 
 
 def parse(codes: list[int], trie: dict[int, int]) -> list[int]:
@@ -149,7 +132,7 @@ class Parsed:
         k = int(np.searchsorted(self.ends, cut, side="left"))
         begin = int(self.ends[k - 1]) if k else 0
         rest = np.concatenate([self.points[begin:cut], tail])
-        unit_ends, codes = units(rest)  # a phrase ends where a unit ends, so the cuts stay in phase
+        unit_ends, codes = units(rest)
         found = parse_on(codes.tolist(), self.trie, k)
         h = _hashes(rest, unit_ends[np.array(found, dtype=np.int64) - 1]) if found else np.zeros(0, dtype=np.uint32)
         return self.text[:cut] + tail.tobytes().decode("utf-32-le", "surrogatepass"), k, h

@@ -227,6 +227,13 @@ def test_fingerprints(spark):
     assert lzprint.fingerprint_with_next(spark.createDataFrame([(1, "alone text here", "x")], DOCS)).first()["near_next"] == 1.0
 
 
+def test_near_copies_without_blanks_have_like_fingerprints():
+    rng = random.Random(12)
+    text = "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(3000))
+    a, b = (set(lzprint.Parsed(t).hashes.tolist()) for t in (text, "x" + text))
+    assert len(a & b) > 0.9 * len(a | b)
+
+
 def test_chat_round_trip():
     rng = random.Random(9)
     parts = ["</s>", "[INST]", "<s>", "\\", "[/INST]", "<\\s>", "x", "\n", "", "é", "<", "["]
