@@ -25,11 +25,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_quality(docs, weights, keep=COLUMNS[1:]).filter(F.col("score") >= MIN_QUALITY).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of their own for each row, stored so that it stays."""
+    return store.stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near copies (Jaccard 0.8 or more)."""
-    found = neardup.near_duplicates(docs, percent=80)
-    losers = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(losers, "doc_id", "left_anti")
+    """One row of smallest id of each component of near copies (Jaccard 0.8 or more)."""
+    rows = _keyed(docs)
+    found = neardup.near_duplicates(rows, id_col="_row", percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    named = found.join(rows.select("_row", "doc_id").filter("doc_id is not null"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    losers = named.join(first, "component_id").filter("_row != first._row").select("_row")
+    return rows.join(losers, "_row", "left_anti").select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +47,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontam.find_leaks(docs, store.table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+    rows = _keyed(docs)
+    leaks = decontam.find_leaks(rows, store.table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,6 +181,21 @@ def test_short_and_unspaced_items_are_found(spark):
     assert got == {(1, 1): (40, 46, 0), (2, 2): (1, 1, 0), (3, 3): (0, 1, 2), (4, 4): (0, 0, 0), (5, 5): (8, 8, 0)}
 
 
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = store.table(spark, sf, "benchmark").filter("text is not null").first()["text"]
+    rng = random.Random(18)
+    copy, other = sentence(rng, 60), sentence(rng, 60)
+    rows = [(None, item), (1, copy), (1, copy), (None, copy), (2, other), (3, copy)]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination_stage(spark, docs, sf).collect()]
+    assert (None, item) not in clean and len(clean) == 5
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, sf).collect()]
+    assert sorted(kept, key=str) == sorted([(None, item), (1, copy), (None, copy), (2, other)], key=str)
+
+
 def test_edit_distance_of_best_place():
     rng = random.Random(4)
 
