@@ -5,13 +5,16 @@ pointer and moves on if bit j of that word's random code is one. Two sequences a
 edit distance meet again after each edit, so their walks agree in most places: edit
 distance has become Hamming distance. A repetition samples places of the walk and hashes
 what was noted there; each length class has as many as find RECALL of its items when
-`tolerance` of their words is edited (`repetitions`).
+`tolerance` of their words is edited (`repetitions`, which also counts what the choice of
+windows below loses).
 
 Windows have the size of the items: items fall into length classes, and an item's class
 sets how long its walks are and from which places they are sampled. Documents are walked
 from every STRIDE-th word; each item is walked from every offset that leaves it a window,
-so that a leak at any place meets a grid point. A document's windows that share a sample
-with an item are verified: the item's edit distance (code points of the lower-cased words)
+so that a leak at any place meets a grid point. Only windows of which PAIRS of the adjacent
+unit pairs occur in items are walked: an edited unit breaks two pairs, so one with a third
+of its units edited keeps as many. A document's windows that share a sample with an item
+are verified: the item's edit distance (code points of the lower-cased words)
 to its best place in the document there must be at most `tolerance` of its length.
 
 Units are words, or code points without white space for items with few blanks (scripts
@@ -34,10 +37,10 @@ from pyspark.sql import functions as F
 
 from . import store, textcore
 
-STRIDE, SAMPLES, MIN_WORDS = 4, 4, 9
+STRIDE, SAMPLES, MIN_WORDS, PAIRS = 4, 4, 9, 0.3
 RECALL, TRIALS, MOST_REPEATS = 0.95, 1000, 256
 CLASSES = (6, 12, 20, 32, 48)
-ITEMS_PER_PASS = 20_000
+UNITS_PER_PASS = 1 << 17
 POINTS = 16
 #: South-east Asian scripts, kana, Han and their marks.
 UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3130), (0x31A0, 0xA000), (0xF900, 0xFB00), (0xFE30, 0xFE50), (0xFF00, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x32000))
@@ -45,6 +48,7 @@ _STEPS = {w: w * 4 // 3 for w in CLASSES}
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
+@lru_cache(MOST_REPEATS)
 def _places(repeat: int) -> dict[int, np.ndarray]:
     """Sampled steps of each class in a repetition, ascending."""
     rng = np.random.default_rng(1000 + repeat)
@@ -71,6 +75,37 @@ def walks(h: np.ndarray, starts: np.ndarray, repeat: int, classes) -> tuple[dict
     return found, read
 
 
+def unit_pairs(h: np.ndarray) -> np.ndarray:
+    """A hash of each unit with the one behind it."""
+    return textcore.mix64(h[:-1] * _MULTIPLIER + h[1:]) if len(h) else h
+
+
+class Pairs:
+    """The adjacent unit pairs of all items."""
+
+    BITS = 22
+
+    def __init__(self, pairs: np.ndarray):
+        self.pairs = np.unique(pairs)
+        self.near = np.zeros(1 << self.BITS, dtype=bool)
+        self.near[self.pairs >> np.uint64(64 - self.BITS)] = True
+
+    def upto(self, h: np.ndarray) -> np.ndarray:
+        """Number of pairs of h known here, before each unit."""
+        own = unit_pairs(h)
+        at = np.flatnonzero(self.near[own >> np.uint64(64 - self.BITS)])
+        place = np.searchsorted(self.pairs, own[at])
+        known = np.zeros(len(h) + 1, dtype=np.int32)
+        known[1 + at[self.pairs[np.minimum(place, len(self.pairs) - 1)] == own[at]]] = 1
+        return np.cumsum(known)
+
+
+def dense_windows(upto: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """True for starts of windows of w units with PAIRS of their pairs known."""
+    last = len(upto) - 1
+    return upto[np.minimum(starts + w - 1, last)] - upto[np.minimum(starts, last)] >= int(np.ceil(PAIRS * (w - 1)))
+
+
 @lru_cache
 def repetitions(w: int, tolerance: float, recall: float = RECALL) -> int:
     """Repetitions after which `recall` of a class's items share a sample with a window.
@@ -103,6 +138,8 @@ def repetitions(w: int, tolerance: float, recall: float = RECALL) -> int:
         at, place = at + len(items[-1]), place + len(copies[-1])
     h, other, begins, grid, grid_of = (np.concatenate(x) for x in (items, copies, begins, grid, grid_of))
     item_of, stop = np.concatenate(item_of, axis=1)
+    dense = dense_windows(Pairs(unit_pairs(h)).upto(other), grid, w)
+    grid, grid_of = grid[dense], grid_of[dense]
     found = np.zeros(TRIALS, dtype=bool)
     for r in range(MOST_REPEATS):
         keys, read = walks(h, begins, r, [w])
@@ -215,6 +252,7 @@ class Items:
         short: dict[int, list[tuple[int, int]]] = defaultdict(list)
         column = pa.array(texts, pa.string())
         self.repeats: dict[int, int] = {}
+        pairs: list[np.ndarray] = []
         keys: dict[int, list[np.ndarray]] = defaultdict(list)
         what: dict[int, list[np.ndarray]] = defaultdict(list)
         for a, b, seen in _blocks(column, unit):
@@ -228,6 +266,7 @@ class Items:
                     if n:
                         short[n].append((int(textcore.ngrams(h[x:y], np.array([0, n]), n)[0][0]), i))
                     continue
+                pairs.append(unit_pairs(h[x:y]))
                 w = max(c for c in CLASSES if c <= n - STRIDE + 1)
                 offsets = np.arange(n - w + 1)
                 self.repeats[w] = repetitions(w, tolerance)
@@ -236,6 +275,7 @@ class Items:
                     good = read[w] < n  # the walk stayed inside the item
                     keys[r].append(found[w][good])
                     what[r].append(np.stack([np.full(int(good.sum()), i), offsets[good]], axis=1).astype(np.int32))
+        self.pairs = Pairs(np.concatenate(pairs)) if pairs else None
         self.keys, self.what = [], []
         for r in range(len(keys)):
             k = np.concatenate(keys[r])
@@ -247,16 +287,26 @@ class Items:
     def candidates(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Distinct (item, unit where the item would begin, row of the window that matched)
         over all windows of h."""
-        starts, out = np.arange(0, len(h), STRIDE), set()
-        rows = np.searchsorted(bounds, starts, side="right") - 1
-        for r, keys in enumerate(self.keys):
-            for found in walks(h, starts, r, [w for w, n in self.repeats.items() if r < n])[0].values():
+        out = set()
+        starts = np.arange(0, len(h), STRIDE)
+        upto = self.pairs.upto(h) if self.pairs else None
+        for w, repeats in self.repeats.items():
+            begin = starts[dense_windows(upto, starts, w)]
+            if not len(begin):
+                continue
+            rows = np.searchsorted(bounds, begin, side="right") - 1
+            reach = _STEPS[w] + 1  # a walk reads no further
+            if len(begin) * reach < len(h):
+                own = np.concatenate([h, np.zeros(reach, dtype=np.uint64)])[begin[:, None] + np.arange(reach)].ravel()
+                at = np.arange(len(begin)) * reach
+            else:
+                own, at = h, begin
+            for r in range(repeats):
+                keys, found = self.keys[r], walks(own, at, r, [w])[0][w]
                 left = np.searchsorted(keys, found)
-                hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == found) if len(keys) else ()
-                for i in hit:
-                    for e in range(int(left[i]), int(np.searchsorted(keys, found[i], side="right"))):
-                        item, offset = self.what[r][e]
-                        out.add((int(item), int(starts[i]) - int(offset), int(rows[i])))
+                for i in np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == found):
+                    for item, offset in self.what[r][left[i] : int(np.searchsorted(keys, found[i], side="right"))].tolist():
+                        out.add((item, int(begin[i]) - offset, int(rows[i])))
         for n, (keys, item) in self.short.items():
             g, own = textcore.ngrams(h, bounds, n)
             left, right = np.searchsorted(keys, g), np.searchsorted(keys, g, side="right")
@@ -270,10 +320,12 @@ class Items:
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", tolerance: float = 0.2) -> DataFrame:
     """One row per leak: doc_id, item_id, first_word, last_word, distance, item_chars.
 
-    Items are searched in passes of ITEMS_PER_PASS, which bounds what is broadcast. All
-    work on a document happens where it is read; nothing is shuffled.
+    The items come to the driver one by one and are searched in passes of UNITS_PER_PASS
+    words or code points, which bounds what is indexed and broadcast at once (some 16 bytes a
+    unit and repetition). Each pass reads the documents; all work on a document happens where
+    it is read and nothing is shuffled.
     """
-    rows = [(r[0], r[1]) for r in items.select(item_col, item_text_col).filter(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).orderBy(item_col, item_text_col).toLocalIterator()]
+    rows = items.select(item_col, item_text_col).filter(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).orderBy(item_col, item_text_col).toLocalIterator()
     spark = docs.sparkSession
     names = ["doc_id", "item_id", "first_word", "last_word", "distance", "item_chars"]
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -321,13 +373,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     k = after
 
     out = None
-    for i in range(0, max(1, len(rows)), ITEMS_PER_PASS):
-        part = rows[i : i + ITEMS_PER_PASS]
-        kinds = [unit_of(t) for _, t in part]
-        for unit in (Words, Points):
-            own = [x for x, k in zip(part, kinds, strict=True) if k is unit]
-            if own or (unit is Words and out is None):
-                index = Items([int(x) for x, _ in own], [t for _, t in own], tolerance, unit)
-                found = store.map_arrow(slim, search(spark.sparkContext.broadcast(index)), schema)
-                out = found if out is None else out.unionByName(found)
-    return out
+    for part, unit in _passes(rows):
+        index = Items([i for i, _ in part], [t for _, t in part], tolerance, unit)
+        found = store.map_arrow(slim, search(spark.sparkContext.broadcast(index)), schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def _passes(rows):
+    """The items (id, text) by unit, UNITS_PER_PASS of them or a single longer item at once."""
+    held = {Words: [], Points: []}
+    sizes = dict.fromkeys(held, 0)
+    for item, text in rows:
+        unit = unit_of(text)
+        size = len(text.split()) if unit is Words else len(text)
+        if held[unit] and sizes[unit] + size > UNITS_PER_PASS:
+            yield held[unit], unit
+            held[unit], sizes[unit] = [], 0
+        held[unit].append((int(item), text))
+        sizes[unit] += size
+    for unit, part in held.items():
+        if part:
+            yield part, unit

@@ -349,3 +349,32 @@ def test_toxicity_ranks_held_out_rows(spark):
     toxic = {r["doc_id"]: r for r in queries.op1_nnpu_toxicity(spark, sf).collect()}
     pos, neg = ([r["score"] for i, r in toxic.items() if i in labels and labels[i]["toxic"] == y and r["held_out"]] for y in (1, 0))
     assert np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]) > 0.8  # area under the curve
+
+
+def test_leaks_of_twelve_words_and_cut_leaks_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "UNITS_PER_PASS", 1500)
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**5, 10**6)}"
+    items, docs = [], []
+    for i in range(200):
+        words = [word() for _ in range(12 if i < 100 else 60)]
+        edited = list(words)
+        if i < 100:
+            for k in rng.sample(range(12), 2):
+                edited[k] = word()
+        else:  # cut at the start or the end of the document
+            edited = words[8:] if i % 2 else words[:-8]
+        before, after = ([word() for _ in range(rng.randrange(20, 40))] for _ in range(2))
+        if i >= 100:
+            before, after = ([], after) if i % 2 else (before, [])
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join([*before, *edited, *after]), "a"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark.createDataFrame(docs, DOCS).coalesce(2), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(i == j for i, j in got) and len([i for i, _ in got if i < 100]) >= 90 and len([i for i, _ in got if i >= 100]) >= 95
+
+
+def test_leaks_without_items_or_documents(spark):
+    docs = spark.createDataFrame([(1, "some text", "a")], DOCS)
+    none = spark.createDataFrame([], "item_id long, text string")
+    items = spark.createDataFrame([(1, sentence(random.Random(1), 20)), (1, sentence(random.Random(1), 20))], "item_id long, text string")
+    assert decontam.find_leaks(docs, none).count() == 0 and decontam.find_leaks(docs.limit(0), items).count() == 0
