@@ -325,61 +325,93 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     unit and repetition). Each pass reads the documents; all work on a document happens where
     it is read and nothing is shuffled.
     """
-    rows = items.select(item_col, item_text_col).filter(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).orderBy(item_col, item_text_col).toLocalIterator()
     spark = docs.sparkSession
     names = ["doc_id", "item_id", "first_word", "last_word", "distance", "item_chars"]
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    schema = "doc_id long, item_id long, first_word long, last_word long, distance long, item_chars long"
+    schema = ", ".join(f"{n} long" for n in names)
 
     def search(shared):
         def run(batches):
             index = shared.value
             for batch in batches:
-                ids, out = batch.column("_id"), []
-                for a, _, seen in _blocks(batch.column("_text"), index.unit):
-                    found = index.candidates(seen.h, seen.bounds)
-                    for i in np.unique(found[:, 2]).tolist():
-                        out += [(ids[a + i].as_py(), *leak) for leak in verified(index, found[found[:, 2] == i], seen, i)]
+                ids = batch.column("_id")
+                out = [(ids[i].as_py(), *leak) for i, leak in leaks_in(index, batch.column("_text"), tolerance)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
         return run
 
-    def verified(index, found, seen, row):
-        low, high = int(seen.bounds[row]), int(seen.bounds[row + 1])
-        for item in np.unique(found[:, 0]).tolist():
-            n, points, covered = index.sizes[item], index.points[item], low - 1
-            slack = 4 + n // 4 if n >= MIN_WORDS else 0  # short ones match exactly
-            begins, k = np.unique(found[found[:, 0] == item, 1]).tolist(), 0
-            while k < len(begins):
-                begin = last = begins[k]
-                k += 1
-                x = max(low, begin - slack)
-                if begin + n // 2 <= covered or min(high, begin + n + slack) <= x:
-                    continue
-                after = k
-                while after < len(begins) and begins[after] - begin <= slack // 2:
-                    last, after = begins[after], after + 1
-                region, unit = seen.region(x, min(high, last + n + slack))
-                most = int(tolerance * len(points) + 1e-9)
-                if not may_hold(points, region, most):
-                    k = after
-                    continue
-                distance, a, b = best_place(points, region)
-                if distance <= tolerance * len(points) and b > a:
-                    covered = x + int(unit[b - 1])
-                    yield index.ids[item], seen.word(x + int(unit[a]), row), seen.word(covered, row), distance, len(points)
-                else:
-                    k = after
-
     out = None
-    for part, unit in _passes(rows):
-        index = Items([i for i, _ in part], [t for _, t in part], tolerance, unit)
+    for index in _indexes(items, item_col, item_text_col, tolerance):
         found = store.map_arrow(slim, search(spark.sparkContext.broadcast(index)), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", tolerance: float = 0.2) -> DataFrame:
+    """The rows that hold no item, as they are. Each is judged where it is read."""
+    at = docs.columns.index(text_col)
+
+    def search(shared):
+        def run(batches):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for i, _ in leaks_in(shared.value, batch.column(at), tolerance):
+                    clean[i] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for index in _indexes(items, item_col, item_text_col, tolerance):
+        docs = store.map_arrow(docs, search(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return docs
+
+
+def leaks_in(index: Items, column: pa.Array, tolerance: float):
+    """(row, leak) of each leak in a text column."""
+    for a, _, seen in _blocks(column, index.unit):
+        found = index.candidates(seen.h, seen.bounds)
+        for i in np.unique(found[:, 2]).tolist():
+            for leak in verified(index, found[found[:, 2] == i], seen, i, tolerance):
+                yield a + i, leak
+
+
+def _indexes(items: DataFrame, item_col: str, item_text_col: str, tolerance: float):
+    """The index of each pass."""
+    rows = items.select(item_col, item_text_col).filter(F.col(item_text_col).isNotNull() & F.col(item_col).isNotNull()).orderBy(item_col, item_text_col).toLocalIterator()
+    for part, unit in _passes(rows):
+        yield Items([i for i, _ in part], [t for _, t in part], tolerance, unit)
+
+
+def verified(index: Items, found: np.ndarray, seen, row: int, tolerance: float):
+    """item_id, first_word, last_word, distance, item_chars of the candidates that are leaks."""
+    low, high = int(seen.bounds[row]), int(seen.bounds[row + 1])
+    for item in np.unique(found[:, 0]).tolist():
+        n, points, covered = index.sizes[item], index.points[item], low - 1
+        slack = 4 + n // 4 if n >= MIN_WORDS else 0  # short ones match exactly
+        begins, k = np.unique(found[found[:, 0] == item, 1]).tolist(), 0
+        while k < len(begins):
+            begin = last = begins[k]
+            k += 1
+            x = max(low, begin - slack)
+            if begin + n // 2 <= covered or min(high, begin + n + slack) <= x:
+                continue
+            after = k
+            while after < len(begins) and begins[after] - begin <= slack // 2:
+                last, after = begins[after], after + 1
+            region, unit = seen.region(x, min(high, last + n + slack))
+            most = int(tolerance * len(points) + 1e-9)
+            if not may_hold(points, region, most):
+                k = after
+                continue
+            distance, a, b = best_place(points, region)
+            if distance <= tolerance * len(points) and b > a:
+                covered = x + int(unit[b - 1])
+                yield index.ids[item], seen.word(x + int(unit[a]), row), seen.word(covered, row), distance, len(points)
+            else:
+                k = after
+
+
 def _passes(rows):
     """The items (id, text) by unit, UNITS_PER_PASS of them or a single longer item at once."""
     held = {Words: [], Points: []}

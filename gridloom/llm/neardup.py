@@ -235,17 +235,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = store.stored(spread.join(buckets, "h").select("h", "key", "n", "center", "m", "weight"), "members")
 
     wanted = members.select("key").distinct().join(classes, "key")
-    found = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(wanted.select(F.col("rep").alias("_id"), "key"), "_id")
+    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    found = text.join(wanted.select(F.col("rep").alias("_id"), "key"), "_id").select("_text", "key")
+    # a class that only null ids hold has no row to ask for: its text is among theirs
+    found = found.unionByName(text.filter(F.col("_id").isNull() & F.col("_text").isNotNull()).select("_text", F.lit(None).cast("binary").alias("key")))
 
     def run(batches):
         for batch in batches:
             keys = batch.column("key").to_pylist()
             for a, b, u, bounds in shingle_sets(batch.column("_text")):
-                same = [k == keys[a + i] for i, k in enumerate(set_keys(u, bounds))]
-                made = pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), _lists(u.view(np.int64), bounds)], ["key", "items"])
+                own = set_keys(u, bounds)
+                same = [k is not None and keys[a + i] in (None, k) for i, k in enumerate(own)]
+                made = pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), _lists(u.view(np.int64), bounds)], ["key", "items"])
                 yield made.filter(pa.array(same))
 
-    sets = store.stored(store.map_arrow(found.select("_text", "key"), run, "key binary, items array<long>"), "sets")
+    sets = store.map_arrow(found, run, "key binary, items array<long>").join(wanted.select("key"), "key", "left_semi")
+    sets = store.stored(sets.groupBy("key").agg(F.first("items").alias("items")), "sets")  # one row a set, however often it occurs
     pairs = members.filter("key != center").select("key", "center").distinct()
     left = pairs.join(sets, "key").select("key", "center", F.col("items").alias("_left"))
     both = left.join(sets.select(F.col("key").alias("center"), F.col("items").alias("_right")), "center")

@@ -50,6 +50,20 @@ def dropped(*frames: DataFrame) -> None:
             _written.remove((spark, path))
 
 
+def swept(since: int, *kept: DataFrame) -> None:
+    """Delete the tables stored since a `mark` that none of `kept` reads."""
+    files = [f for df in kept for f in df.inputFiles()]
+    for spark, path in _written[since:]:
+        if not any(path.rpartition("/")[2] in f for f in files):
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
+def mark() -> int:
+    """A point in the order of stored tables."""
+    return len(_written)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -65,13 +79,9 @@ def _clean() -> None:
             return
 
 
-def batched(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch so that long texts fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    batched(df.sparkSession)
+    """mapInArrow; spark.sql.execution.arrow.maxBytesPerBatch bounds what a worker holds of
+    long texts at once."""
     return df.mapInArrow(fn, schema)
 
 

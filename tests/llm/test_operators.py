@@ -5,10 +5,12 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import chat, decontam, language, lzprint, neardup, packing, passages, queries, sharding, store, textcore, toxicity
 
@@ -276,11 +278,53 @@ def test_shards(spark):
     assert max(columns) - min(columns) <= 1 and min(min(r) for r in m) >= 0
     draws = [sharding._hypergeometric(rng, 30, 50, 20) for _ in range(4000)]
     assert np.mean(draws) == pytest.approx(7.5, abs=0.15) and np.var(draws) == pytest.approx(20 * 0.375 * 0.625 * 60 / 79, rel=0.15)
-    df = spark.createDataFrame([(i // 2, "t") for i in range(1001)] + [(None, "n")], "doc_id long, text string")
-    got = sharding.shuffle_to_shards(df).collect()
+    rows = [(i // 2, "t") for i in range(1001)] + [(None, "n"), (None, None)] + [(7, "t")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shuffle_to_shards(df.repartition(3)).collect()
     per = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(8)}
-    assert sorted(len(x) for x in per.values()) == [125] * 6 + [126] * 2 and all(x == list(range(len(x))) for x in per.values())
+    assert sorted(len(x) for x in per.values()) == [162] + [163] * 7 and all(x == list(range(len(x))) for x in per.values())
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    assert max(Counter(r["shard"] for r in got if r["doc_id"] == 7).values()) < 70  # copies spread
+    assert sorted(map(str, got)) == sorted(map(str, sharding.shuffle_to_shards(df.repartition(7, "text")).collect()))
     assert sharding.shuffle_to_shards(df.limit(0)).count() == 0
+    for name in ("shard", "SLOT", "_shuffle_n"):
+        with pytest.raises(ValueError):
+            sharding.shuffle_to_shards(df.withColumn(name, F.lit(1)))
+
+
+def test_hypergeometric_law_at_any_size():
+    from math import comb
+
+    for good, bad, draws in ((30, 50, 20), (5, 900, 300), (400, 30, 200)):
+        p, total = draws / (good + bad), comb(good + bad, draws)
+        for k in range(max(0, draws - bad), min(good, draws) + 1):
+            found = np.exp(sharding._log_binomial(k, good, p) + sharding._log_binomial(draws - k, bad, p) - sharding._log_binomial(draws, good + bad, p))
+            assert found == pytest.approx(comb(good, k) * comb(bad, draws - k) / total, rel=1e-9)
+    rng = random.Random(4)
+    draws = [sharding._hypergeometric(rng, 10**10, 7 * 10**10, 10**5) for _ in range(400)]
+    assert np.mean(draws) == pytest.approx(12500, abs=20) and np.var(draws) == pytest.approx(12500 * 7 / 8, rel=0.25)
+
+
+def test_null_ids_and_repeated_rows_link(spark):
+    rng = random.Random(41)
+    a, b = sentence(rng, 80).split(), sentence(rng, 80).split()
+    near = [*a[:79], "other"]
+    rows = [(None, " ".join(a)), (None, " ".join(near)), (5, " ".join(b)), (5, " ".join(b)), (4, " ".join([*b[:79], "x"]))] + [(9, " ".join(near))] * 40
+    got = [(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame([(i, t, "x") for i, t in rows], DOCS)).collect()]
+    assert Counter(got) == Counter([(None, 9)] * 2 + [(9, 9)] * 40 + [(5, 4)] * 2 + [(4, 4)])
+    nameless = neardup.near_duplicates(spark.createDataFrame([(None, t, "x") for t in (" ".join(a), " ".join(near), " ".join(b))], DOCS))
+    assert [r["component_id"] for r in nameless.collect()] == [None] * 3
+
+
+def test_repeated_ids_and_clashing_columns_in_passages(spark):
+    rng = random.Random(43)
+    passage = sentence(rng, 60)
+    one, two = f"{passage} {sentence(rng, 30)}", f"{sentence(rng, 20)} {passage}"
+    docs = spark.createDataFrame([(1, one, "a"), (1, one, "a"), (2, two, "b"), (2, two, "b")], "doc_id long, text string, _doc string").withColumn("seed", F.lit(1)).withColumn("p", F.lit("x"))
+    found = passages.repeated_passages(docs)
+    assert [(r["doc_id"], r["first_word"], r["end_word"], r["origin_doc_id"]) for r in found.collect()] == [(2, 20, 80, 1)]
+    left = passages.without_passages(docs, found)
+    assert left.columns == docs.columns and sorted(len(r["text"].split()) for r in left.collect()) == [20, 20, 90, 90]
 
 
 def test_packing(spark):
