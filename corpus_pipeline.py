@@ -31,25 +31,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of smallest id of each component of near copies (Jaccard 0.8 or more)."""
+    """One row of smallest id of each component of near copies (Jaccard 0.8 or more).
+
+    Rows are judged each: of repeated rows one stays; rows without words or with a null id
+    stay; a row with a null id is never the one that others are dropped for.
+    """
+    since = store.mark()
     rows = _keyed(docs)
     found = neardup.near_duplicates(rows, id_col="_row", percent=80).select(F.col("doc_id").alias("_row"), "component_id")
     named = found.join(rows.select("_row", "doc_id").filter("doc_id is not null"), "_row")
     first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
-    losers = named.join(first, "component_id").filter("_row != first._row").select("_row")
+    losers = store.stored(named.join(first, "component_id").filter("_row != first._row").select("_row"), "losers")
+    store.swept(since, rows, losers)
     return rows.join(losers, "_row", "left_anti").select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of smaller id has as well."""
-    return passages.without_passages(docs.select(*COLUMNS), passages.repeated_passages(docs))
+    """Documents without the passages that an earlier row has as well; n_chars is the new length.
+
+    Rows are judged each and in stored order; null and empty texts stay as they are, and rows
+    that consisted of such passages only go.
+    """
+    rows = _keyed(docs)
+    return passages.without_passages(rows, passages.repeated_passages(rows, id_col="_row"), id_col="_row").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    rows = _keyed(docs)
-    leaks = decontam.find_leaks(rows, store.table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(leaks, "_row", "left_anti").select(*COLUMNS)
+    """Rows that hold no benchmark item, whatever their id; null and empty texts stay."""
+    return decontam.without_leaks(docs.select(*COLUMNS), store.table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +79,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and reread."""
     docs = store.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        since = store.mark()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = store.stored(docs, f"stage{i}")
+            store.swept(since, docs)
     return docs
