@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -80,8 +81,12 @@ def _clean() -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; spark.sql.execution.arrow.maxBytesPerBatch bounds what a worker holds of
-    long texts at once."""
+    """mapInArrow over batches of ROWS_PER_BATCH rows at most; maxBytesPerBatch bounds the bytes of
+    longer texts. Plans read the setting when they run, which may be long after this call, so
+    a session that leaves Spark's default gets it for good; a smaller one is kept."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_ROWS)) > ROWS_PER_BATCH:
+        conf.set(BATCH_ROWS, str(ROWS_PER_BATCH))
     return df.mapInArrow(fn, schema)
 
 
