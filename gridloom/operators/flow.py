@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from math import pi
+from functools import reduce
+from math import atan2, pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import D8, GridMeta
-from ..plans.lineage import MAX_ROUNDS, cut, settled
+from ..plans.lineage import cut, settled
 from . import graph, stencil, terrain
 
 
@@ -30,11 +33,11 @@ def d8(cells: DataFrame, meta: GridMeta, sink_mode: str = "outlet", keep: tuple[
 
 
 def rho8(cells: DataFrame, meta: GridMeta, seed: int = 1) -> DataFrame:
-    """D8 whose diagonal distances are 1 / (2 - u) shorter at random; u by a seeded hash."""
+    """D8 whose diagonal distances are 1 / (2 - u) shorter at random; u by a seeded md5."""
     near = stencil.neighbours(cells.select("r", "c", "z"), nearest=False)
     drops = {}
     for (code, dr, dc), v in zip(D8, stencil.around(), strict=True):
-        u = F.pmod(F.xxhash64("r", "c", F.lit(code), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+        u = F.conv(F.substring(F.md5(F.concat_ws(",", "r", "c", F.lit(code), F.lit(seed))), 1, 5), 16, 10).cast("double") / float(1 << 20)
         drops[f"_d{code}"] = (F.col("z") - v) / ((F.lit(2.0) - u) * meta.dx if dr and dc else F.lit(meta.step(dr, dc)))
     near = near.withColumns(drops).withColumn("_best", F.greatest(*drops))
     best, found = F.col("_best"), F.lit(0)
@@ -53,11 +56,12 @@ def dinf(cells: DataFrame, meta: GridMeta) -> DataFrame:
     near = stencil.neighbours(cells.select("r", "c", "z"), nearest=False)
     slopes, angles = {}, {}
     for k, (side, corner, turns, sign) in enumerate(FACETS):
-        s1, s2 = (F.col("z") - F.col(side)) / meta.dx, (F.col(side) - F.col(corner)) / meta.dx
+        d1, d2 = (meta.dx, meta.dy) if side in "ew" else (meta.dy, meta.dx)
+        s1, s2, wide = (F.col("z") - F.col(side)) / d1, (F.col(side) - F.col(corner)) / d2, atan2(d2, d1)
         r = F.atan2(s2, s1)
-        s = F.when(r < 0, s1).when(r > pi / 4, (F.col("z") - F.col(corner)) / meta.diagonal).otherwise(F.sqrt(s1 * s1 + s2 * s2))
+        s = F.when(r < 0, s1).when(r > wide, (F.col("z") - F.col(corner)) / meta.diagonal).otherwise(F.sqrt(s1 * s1 + s2 * s2))
         slopes[f"_s{k}"] = s
-        angles[f"_a{k}"] = (F.lit(turns * pi / 2) + sign * F.when(r < 0, 0.0).when(r > pi / 4, pi / 4).otherwise(r))
+        angles[f"_a{k}"] = (F.lit(turns * pi / 2) + sign * F.when(r < 0, 0.0).when(r > wide, wide).otherwise(r))
     near = near.withColumns({**slopes, **angles}).withColumn("_best", F.greatest(*slopes))
     best, angle = F.col("_best"), F.lit(-1.0)
     for s, a in reversed(list(zip(slopes, angles, strict=True))):
@@ -201,27 +205,47 @@ def drop_slope(flow: DataFrame, meta: GridMeta, cells: DataFrame) -> DataFrame:
 def _proportional(cells: DataFrame, meta: GridMeta, exponent: float) -> DataFrame:
     near = stencil.neighbours(cells.select("r", "c", "z"), nearest=False).filter("z is not null")
     shares = [F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.when(v < F.col("z"), F.pow((F.col("z") - v) / F.lit(meta.step(dr, dc)), F.lit(exponent))).alias("w")) for (_, dr, dc), v in zip(D8, stencil.around(), strict=True)]
-    out = near.select("r", "c", F.explode(F.filter(F.array(*shares), lambda s: s["w"].isNotNull())).alias("s"))
-    total = F.sum("s.w").over(Window.partitionBy("r", "c"))
-    return out.select(graph.node(F.col("r"), F.col("c")).alias("node"), graph.node(F.col("r") + F.col("s.dr"), F.col("c") + F.col("s.dc")).alias("parent"), (F.col("s.w") / total).alias("share"))
-
-
-def _spread(cells: DataFrame, shares: DataFrame) -> DataFrame:
-    """Accumulation over a weighted acyclic graph, frontier by frontier: what arrived in the
-    last round moves on; the rounds are the longest path."""
-    shares = cut(shares)
-    own = cells.filter("z is not null").select(graph.node(F.col("r"), F.col("c")).alias("node"))
-    total = moving = cut(own.withColumn("a", F.lit(1.0)))
-    for k in range(100 * MAX_ROUNDS):
-        moving = moving.join(shares, "node").select(F.col("parent").alias("node"), (F.col("a") * F.col("share")).alias("a")).groupBy("node").agg(F.sum("a").alias("a"))
-        moving = cut(moving)
-        if moving.limit(1).count() == 0:
-            break
-        total = total.unionByName(moving)
-        if k % 8 == 7:
-            total = cut(total.groupBy("node").agg(F.sum("a").alias("a")))
-    done = total.groupBy("node").agg(F.sum("a").alias("a"))
-    return cells.select("r", "c", graph.node(F.col("r"), F.col("c")).alias("node"), "z").join(done, "node", "left").select("r", "c", F.when(F.col("z").isNotNull(), F.col("a")).alias("acc"))
+    lower = near.select("r", "c", "z", F.filter(F.array(*shares), lambda s: s["w"].isNotNull()).alias("all"))
+    out = lower.withColumn("total", F.aggregate("all", F.lit(0.0), lambda t, s: t + s["w"])).select("r", "c", "z", "total", F.explode("all").alias("s"))
+    return out.select("r", "c", "z", (F.col("r") + F.col("s.dr")).alias("r2"), (F.col("c") + F.col("s.dc")).alias("c2"), (F.col("s.w") / F.col("total")).alias("share"))
+
+
+def _spread(cells: DataFrame, shares: DataFrame, tile: int = 128) -> DataFrame:
+    """Accumulation over shares (r, c, z, r2, c2, share) that always lead to a lower cell.
+
+    A tile passes what it has down its own cells, highest first, and hands on what leaves it;
+    the next round works on tiles that got something. Rounds are as many as a path crosses
+    tiles, and a path sinks, so they end.
+    """
+    at = [F.floor(F.col(x) / tile).cast("int").alias(y) for x, y in (("r", "tr"), ("c", "tc"))]
+    edges = cut(shares.select("r", "c", "z", "r2", "c2", "share", *at))
+    moving = cells.filter("z is not null").select("r", "c", F.lit(1.0).alias("a"))
+
+    def run(key: tuple[int, int], own: pd.DataFrame, arrived: pd.DataFrame) -> pd.DataFrame:
+        top, left, wide = key[0] * tile - 1, key[1] * tile - 1, tile + 2
+        mass = np.zeros(wide * wide)
+        np.add.at(mass, (arrived["r"].to_numpy() - top) * wide + arrived["c"].to_numpy() - left, arrived["a"].to_numpy())
+        order = np.lexsort((own["c2"], own["r2"], own["c"], own["r"], -own["z"]))
+        one, two = (((own[r].to_numpy() - top) * wide + own[c].to_numpy() - left)[order].tolist() for r, c in (("r", "c"), ("r2", "c2")))
+        held = mass.tolist()
+        for i, j, s in zip(one, two, own["share"].to_numpy()[order].tolist(), strict=True):
+            held[j] += held[i] * s
+        mass = np.array(held)
+        some = np.flatnonzero(mass)
+        r, c = some // wide, some % wide
+        return pd.DataFrame({"r": r + top, "c": c + left, "a": mass[some], "inside": (r > 0) & (c > 0) & (r <= tile) & (c <= tile)})
+
+    done = []
+    while not done or moving.limit(1).count():
+        got = moving.select("r", "c", "a", *at)
+        due = edges if not done else edges.join(got.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+        out = cut(due.groupBy("tr", "tc").cogroup(got.groupBy("tr", "tc")).applyInPandas(run, "r int, c int, a double, inside boolean"))
+        done.append(out.filter("inside").select("r", "c", "a"))
+        moving = cut(out.filter("not inside").groupBy("r", "c").agg(F.sum("a").alias("a")))
+        if len(done) == 16:
+            done = [cut(reduce(DataFrame.unionByName, done).groupBy("r", "c").agg(F.sum("a").alias("a")))]
+    total = reduce(DataFrame.unionByName, done).groupBy("r", "c").agg(F.sum("a").alias("a"))
+    return cells.select("r", "c", "z").join(total, ["r", "c"], "left").select("r", "c", F.when(F.col("z").isNotNull(), F.col("a")).alias("acc"))
 
 
 def accumulate_fd8(cells: DataFrame, meta: GridMeta, exponent: float = 1.1) -> DataFrame:
@@ -238,10 +262,55 @@ def accumulate_dinf(cells: DataFrame, meta: GridMeta) -> DataFrame:
     e = a.select("r", "c", F.explode(both).alias("s")).filter("s.share > 1e-12")
     lower = cells.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("z").alias("z2")).filter("z2 is not null")
     e = e.withColumns({"r2": F.col("r") + F.col("s.o.dr"), "c2": F.col("c") + F.col("s.o.dc")}).join(lower, ["r2", "c2"]).join(cells.select("r", "c", "z"), ["r", "c"]).filter("z2 < z")
-    shares = e.select(graph.node(F.col("r"), F.col("c")).alias("node"), graph.node(F.col("r2"), F.col("c2")).alias("parent"), F.col("s.share").alias("share"))
+    shares = e.select("r", "c", "z", "r2", "c2", F.col("s.share").alias("share"))
     return _spread(cells, shares)
 
 
+def watershed_of_cell(flow: DataFrame, meta: GridMeta, row: int, col: int) -> DataFrame:
+    """1 for the cell and all cells that drain through it, else 0."""
+    seed = flow.filter((F.col("r") == row) & (F.col("c") == col)).select("r", "c", F.lit(1).alias("seed"))
+    return watersheds(flow, meta, seed).withColumn("watershed", F.col("watershed").cast("int"))
+
+
+def route(cells: DataFrame, meta: GridMeta, method: str = "FD8") -> DataFrame:
+    """Accumulation by multiple flow or D8, without filling first."""
+    if method == "FD8":
+        return accumulate_fd8(cells, meta)
+    return accumulate(d8(cells, meta), meta)
+
+
+def path_statistic(name: str, flow: DataFrame, meta: GridMeta, streams: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """r, c, value of one of twelve path statistics; an unknown name gives zeros.
+
+    downslope_distance and hand need streams, hand and the elevation statistics cells.
+    """
+    needs = {"downslope_distance": ("streams",), "hand": ("streams", "cells"), "avg_flowpath_slope": ("cells",), "max_downslope_elev_change": ("cells",)}
+    for what in needs.get(name, ()):
+        if {"streams": streams, "cells": cells}[what] is None:
+            raise ValueError(f"{name} needs {what}")
+    flow = settled(flow)
+    if name in ("downslope_distance", "hand"):
+        near = above_stream(flow, meta, streams, cells if cells is not None else flow.select("r", "c", F.lit(0.0).alias("z")))
+        found = near.select("r", "c", F.col("dist" if name == "downslope_distance" else "hand").alias("value"))
+    elif name in ("max_upslope_length", "downslope_length"):
+        found = (length_up if name == "max_upslope_length" else length_down)(flow, meta).toDF("r", "c", "value")
+    elif name in ("flow_length_diff", "longest_flowpath"):
+        up, down = length_up(flow, meta), length_down(flow, meta)
+        value = F.col("down") - F.col("up") if name == "flow_length_diff" else F.col("down") + F.col("up")
+        found = up.join(down, ["r", "c"]).select("r", "c", value.alias("value"))
+    elif name == "num_inflowing":
+        found = inflow_count(flow, meta).toDF("r", "c", "value")
+    elif name == "num_upslope":
+        found = accumulate(flow, meta).select("r", "c", (F.col("acc") - 1).alias("value"))
+    elif name == "num_downslope":
+        found = flow.select("r", "c", F.when(F.col("dir") > 0, 1).otherwise(0).alias("value"))
+    elif name in ("avg_flowpath_slope", "max_downslope_elev_change"):
+        found = outlet_statistics(flow, meta, cells).select("r", "c", F.col("mean_slope" if name == "avg_flowpath_slope" else "drop").alias("value"))
+    else:
+        found = flow.select("r", "c", F.lit(0.0).alias("value"))
+    return found.select("r", "c", F.col("value").cast("double").alias("value"))
+
+
 def indices(cells: DataFrame, meta: GridMeta) -> DataFrame:
     """twi, spi, sti and valley index from slope and D8 accumulation of the same grid."""
     flow = settled(d8(cells, meta))

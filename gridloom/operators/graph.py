@@ -85,15 +85,14 @@ def label_components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of an undirected graph given by pairs (node, other)
     in both directions: rounds of the neighbours' minimum with a pointer shortcut."""
     pairs, label = cut(pairs.select("node", "other")), cut(nodes.select("node", F.col("node").alias("comp")))
-    for _ in range(100 * MAX_ROUNDS):
+    while True:  # labels only sink
         near = pairs.join(label.select(F.col("node").alias("other"), F.col("comp").alias("oc")), "other").groupBy("node").agg(F.min("oc").alias("oc"))
         low = label.join(near, "node", "left").select("node", "comp", F.least("comp", F.coalesce("oc", "comp")).alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("comp").alias("lower"))
         new = cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("comp"), (F.least("low", F.coalesce("lower", "low")) != F.col("comp")).alias("moved")))
         label = new.select("node", "comp")
         if new.filter("moved").limit(1).count() == 0:
-            break
-    return label
+            return label
 
 
 def row_major_ids(cells: DataFrame) -> DataFrame:

@@ -48,6 +48,15 @@ def accumulation_class(acc: DataFrame) -> DataFrame:
     return acc.crossJoin(F.broadcast(top)).select("r", "c", F.when(F.col("acc") > F.col("break_at"), 1).when(F.col("acc").isNotNull(), 0).alias("class"))
 
 
+#: Labels and colours of the two stream classes.
+STREAM_CLASSES = {0: "No Stream", 1: "Stream"}
+
+
+def stream_class(stream: Column) -> Column:
+    """1 on a stream, 0 off it, NULL for NoData."""
+    return F.when(stream > 0, 1).when(stream.isNotNull(), 0)
+
+
 def order_class(order: Column) -> Column:
     return F.least(order, F.lit(10))
 

@@ -1,13 +1,16 @@
-"""Ray marches: viewshed, openness, wind exposure. Offsets are literals; only values are joined."""
+"""Ray marches: viewshed by an equi-join of samples; openness and wind exposure over tiles
+with a halo as wide as the rays are long."""
 
 from __future__ import annotations
 
 from math import cos, pi, radians, sin
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import GridMeta
+from . import tiles
 
 
 def viewshed(cells: DataFrame, row: int, col: int, observer_height: float = 1.8, target_height: float = 0.0) -> DataFrame:
@@ -30,31 +33,36 @@ def viewshed(cells: DataFrame, row: int, col: int, observer_height: float = 1.8,
     return base.join(hidden, ["r", "c"], "left").select("r", "c", F.when(F.col("z").isNotNull() & F.col("hidden").isNull(), 1).otherwise(0).alias("seen"))
 
 
-def _along(cells: DataFrame, meta: GridMeta, rays: list[tuple[int, int, float, float]]) -> DataFrame:
-    """Samples (r, c, z, ray, i, v) of rays given as (ray, step, row shift, column shift)."""
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, i, dy, dx in rays])
-    spread = cells.filter(F.col("z").isNotNull()).select("r", "c", "z", F.explode(table).alias("o"))
-    spread = spread.select("r", "c", "z", "o.k", "o.i", F.rint(F.col("r") + F.col("o.dy")).cast("int").alias("sr"), F.rint(F.col("c") + F.col("o.dx")).cast("int").alias("sc"))
-    there = cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("z").alias("v"))
-    return spread.join(there, ["sr", "sc"]).filter(F.col("v").isNotNull())
+def _steepest(a: np.ndarray, halo: int, ray: list[tuple[int, int, int]], size: float, sign: float = 1.0) -> np.ndarray:
+    """Largest rise per length over the samples (step, row shift, column shift) of a ray; -inf
+    where no sample is valid."""
+    z = tiles.shifted(a, halo, 0, 0)
+    best = np.full(z.shape, -np.inf)
+    for i, dr, dc in ray:
+        best = np.fmax(best, sign * (tiles.shifted(a, halo, dr, dc) - z) / (i * size))
+    return best
 
 
 def openness(cells: DataFrame, meta: GridMeta, radius: int = 10, negative: bool = False) -> DataFrame:
     """Mean over eight azimuths of 90 degrees less the steepest sight angle, in radians."""
-    rays = [(k, i, -i * cos(k * pi / 4), i * sin(k * pi / 4)) for k in range(8) for i in range(1, radius + 1)]
-    s = _along(cells, meta, rays)
+    rays = [[(i, round(-i * cos(k * pi / 4)), round(i * sin(k * pi / 4))) for i in range(1, radius + 1)] for k in range(8)]
     sign = -1.0 if negative else 1.0
-    angle = F.degrees(F.atan(sign * (F.col("v") - F.col("z")) / (F.col("i") * meta.dx)))
-    steepest = s.groupBy("r", "c", "k").agg(F.max(angle).alias("a"))
-    found = steepest.groupBy("r", "c").agg(F.sum(90.0 - F.col("a")).alias("total"), F.count(F.lit(1)).alias("n"))
-    mean = (F.coalesce("total", F.lit(0.0)) + (8 - F.coalesce("n", F.lit(0))) * 180.0) / 8.0
-    return cells.join(found, ["r", "c"], "left").select("r", "c", F.when(F.col("z").isNotNull(), F.radians(mean)).alias("openness"))
 
+    def run(a: np.ndarray) -> np.ndarray:
+        z = tiles.shifted(a, radius, 0, 0)
+        total = sum(90.0 - np.degrees(np.arctan(_steepest(a, radius, ray, meta.dx, sign))) for ray in rays)
+        return np.where(np.isnan(z), np.nan, np.radians(total / 8.0))
 
-def wind_exposure(cells: DataFrame, meta: GridMeta, azimuth: float = 315.0, max_dist: float = 10.0) -> DataFrame:
+    return tiles.focal(cells, meta, run, radius, "openness")
+
+
+def wind_exposure(cells: DataFrame, meta: GridMeta, azimuth: float = 315.0, max_dist: float = 100.0) -> DataFrame:
     """Largest upwind slope within max_dist; 0 without a sample."""
-    a = radians(azimuth)
-    rays = [(0, i, -i * cos(a), i * sin(a)) for i in range(1, int(max_dist / meta.dx) + 1)]
-    s = _along(cells, meta, rays)
-    found = s.groupBy("r", "c").agg(F.max((F.col("v") - F.col("z")) / (F.col("i") * meta.dx)).alias("sx"))
-    return cells.join(found, ["r", "c"], "left").select("r", "c", F.when(F.col("z").isNotNull(), F.coalesce("sx", F.lit(0.0))).alias("sx"))
+    t, reach = radians(azimuth), int(max_dist / meta.dx)
+    ray = [(i, round(-i * cos(t)), round(i * sin(t))) for i in range(1, reach + 1)]
+
+    def run(a: np.ndarray) -> np.ndarray:
+        best = _steepest(a, reach, ray, meta.dx)
+        return np.where(np.isnan(tiles.shifted(a, reach, 0, 0)), np.nan, np.where(np.isinf(best), 0.0, best))
+
+    return tiles.focal(cells, meta, run, reach, "sx", tile=max(128, 2 * reach))

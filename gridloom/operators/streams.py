@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import D8, GridMeta
-from ..plans.lineage import MAX_ROUNDS, cut, settled
+from ..plans.lineage import cut, settled
 from . import graph
-from .vector import length_of
+from .vector import length_of, snap_lines
 
 
 def extract(acc: DataFrame, threshold: float = 100.0, inclusive: bool = False) -> DataFrame:
@@ -69,7 +69,9 @@ def strahler(flow: DataFrame, streams: DataFrame, meta: GridMeta) -> DataFrame:
     hops = e.join(link, "node").join(below, "down").filter("next <> link").groupBy("link").agg(F.min("next").alias("next"))
     live = cut(link.select("link").distinct().join(hops, "link", "left").select(F.col("link").cast("long").alias("node"), F.col("next").cast("long").alias("ptr")))
     levels = live.select(F.col("node").cast("int").alias("link"), F.lit(1).alias("strahler"))
-    for k in range(2, MAX_ROUNDS):
+    k = 1
+    while True:  # each level has half the links of the one before at most
+        k += 1
         joints = live.filter("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("node", F.lit(1).alias("_j"))
         state = cut(live.join(joints, "node", "left").select("node", "ptr", F.lit(0.0).alias("len"), F.coalesce("_j", F.lit(0)).alias("val")))
         if state.filter("val = 1").limit(1).count() == 0:
@@ -152,6 +154,39 @@ def main_network(flow: DataFrame, streams: DataFrame, meta: GridMeta) -> DataFra
     return at.select("r", "c", F.when((F.col("stream") > 0) & (F.col("_g") == 1), 1).otherwise(0).alias("stream"))
 
 
+def gap_steps(threshold: float, meta: GridMeta, map_units: bool = False) -> int:
+    """Steps of a gap limit in cells, or in map units (one more than the whole cells in it)."""
+    return int(threshold / meta.dx) + 1 if map_units else int(threshold)
+
+
+def slope_degrees(flow: DataFrame, streams: DataFrame, cells: DataFrame, meta: GridMeta) -> DataFrame:
+    """Slope to the cell below in degrees on stream cells, 0 elsewhere and without one."""
+    from .flow import drop_slope
+
+    j = drop_slope(flow, meta, cells).join(streams.select("r", "c", "stream"), ["r", "c"])
+    return j.select("r", "c", F.when(F.col("stream") > 0, F.coalesce(F.degrees(F.atan("fall")), F.lit(0.0))).otherwise(0.0).alias("slope"))
+
+
+def raster_to_vector(flow: DataFrame, streams: DataFrame, meta: GridMeta, cells: DataFrame, acc: DataFrame | None = None, gap: float = 0.0, min_length: float = 0.0, remove_isolated_streams: bool = False, snap: float = 0.0, unit: str = "map", geographic: bool = False) -> DataFrame:
+    """Polylines id, order, length, pts of a stream raster: gaps filled, short links and (with
+    acc) isolated streams removed, endpoints snapped, lines below a tenth of min_length dropped.
+
+    Units: pixels, map, or metres (111,320 to a degree on a geographic grid). snap 0 stands
+    for one and a half cells; gap and min_length 0 leave their steps out.
+    """
+    scale = {"pixels": meta.dx, "map": 1.0, "metres": 1.0 / 111320.0 if geographic else 1.0}[unit]
+    gap, min_length, snap = gap * scale, min_length * scale, snap * scale if snap > 0 else 1.5 * meta.dx
+    flow = settled(flow)
+    if gap > 0:
+        streams = cut(join_gaps(flow, streams, meta, distance=gap))
+    if min_length > 0:
+        streams = cut(remove_short(flow, streams, cells, meta, min_length))
+    if remove_isolated_streams and acc is not None:
+        streams = cut(remove_isolated(flow, streams, acc, meta))
+    lines = cut(segments(flow, streams, strahler(flow, streams, meta), meta))
+    return snap_lines(lines, snap).withColumn("length", length_of("pts")).filter(F.col("length") >= 0.1 * min_length).select("id", "order", "length", "pts")
+
+
 def join_gaps(flow: DataFrame, streams: DataFrame, meta: GridMeta, distance: float | None = None, hops: int | None = None) -> DataFrame:
     """Fills paths from a stream's end to the next stream cell downstream, if nearer than
     `distance`, or at most `hops` steps away. Tests the original mask only."""
@@ -160,7 +195,9 @@ def join_gaps(flow: DataFrame, streams: DataFrame, meta: GridMeta, distance: flo
     walk = e.filter("stream > 0").select("parent", F.col("step").alias("dist")).join(target, "parent").filter("below = 0")
     state = cut(walk.select(F.col("parent").alias("at"), "next", "nstep", "dist", F.array("parent").alias("path")))
     filled, k = None, 1
-    for _ in range(100 * MAX_ROUNDS):
+    if distance is None and hops is None:
+        raise ValueError("a distance or a number of steps is needed")
+    while True:  # each round adds a step to every path, so one of the limits ends it
         state = state.filter(F.col("dist") < distance) if distance is not None else state
         if (hops is not None and k >= hops) or state.limit(1).count() == 0:
             break

@@ -5,13 +5,15 @@ NoData is NULL and stays NULL; border cells of slope are NULL (no in-band marker
 
 from __future__ import annotations
 
+from functools import reduce
 from math import radians
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..meta import GridMeta
-from . import stencil
+from . import stencil, tiles
 
 
 def _sobel(dx: float, dy: float, hole: bool) -> tuple[Column, Column]:
@@ -144,16 +146,29 @@ def square(radius: int) -> list[tuple[int, int]]:
 
 def tpi(cells: DataFrame, meta: GridMeta, radius: int = 3) -> DataFrame:
     """Elevation less the mean over a disk without its centre; NULL anywhere in it gives NULL."""
-    spread = stencil.offset_join(cells.select("r", "c", "z"), disk(radius), "z", meta, nearest=True)
-    g = spread.groupBy("r", "c").agg(F.first("z").alias("z"), F.avg("_v").alias("m"), F.count("_v").alias("n"))
-    return g.select("r", "c", F.when(F.col("n") == len(disk(radius)), F.col("z") - F.col("m")).alias("tpi"))
+    around = disk(radius)
+
+    def run(a: np.ndarray) -> np.ndarray:
+        total = sum(tiles.shifted(a, radius, i, j) for i, j in around)
+        return tiles.shifted(a, radius, 0, 0) - total / len(around)
+
+    return tiles.focal(cells, meta, run, radius, "tpi", nearest=True)
 
 
 def tri(cells: DataFrame, meta: GridMeta, radius: int = 1) -> DataFrame:
     """Mean absolute difference to valid neighbours in a window cut at the edge; none gives 0."""
-    spread = stencil.offset_join(cells.select("r", "c", "z"), square(radius), "z", meta, nearest=False)
-    g = spread.groupBy("r", "c").agg(F.first("z").alias("z"), F.avg(F.abs(F.col("z") - F.col("_v"))).alias("m"))
-    return g.select("r", "c", F.when(F.col("z").isNotNull(), F.coalesce("m", F.lit(0.0))).alias("tri"))
+
+    def run(a: np.ndarray) -> np.ndarray:
+        z = tiles.shifted(a, radius, 0, 0)
+        total, n = np.zeros(z.shape), np.zeros(z.shape)
+        for i, j in square(radius):
+            v = np.abs(z - tiles.shifted(a, radius, i, j))
+            known = ~np.isnan(v)
+            total[known] += v[known]
+            n += known
+        return np.where(np.isnan(z), np.nan, total / np.maximum(n, 1))
+
+    return tiles.focal(cells, meta, run, radius, "tri")
 
 
 def focal(cells: DataFrame, meta: GridMeta, statistic: str, window: int = 7, value: str = "z") -> DataFrame:
@@ -162,9 +177,15 @@ def focal(cells: DataFrame, meta: GridMeta, statistic: str, window: int = 7, val
     k = _odd(window)
     base = cells.select("r", "c", value)
     if statistic == "median":
-        every = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1)]
-        spread = stencil.offset_join(base, every, value, meta, nearest=True)
-        return spread.groupBy("r", "c").agg(F.percentile("_v", 0.5).alias("median"))
+
+
+        def run(a: np.ndarray) -> np.ndarray:
+            every = np.sort(np.lib.stride_tricks.sliding_window_view(a, (2 * k + 1, 2 * k + 1)).reshape(a.shape[0] - 2 * k, a.shape[1] - 2 * k, -1), axis=-1)
+            n = (~np.isnan(every)).sum(axis=-1, keepdims=True)  # NaN sorts last
+            low, high = (np.take_along_axis(every, np.clip(at, 0, every.shape[-1] - 1), axis=-1)[..., 0] for at in ((n - 1) // 2, n // 2))
+            return np.where(n[..., 0] > 0, (low + high) / 2, np.nan)
+
+        return tiles.focal(base, meta, run, k, "median", value, nearest=True)
     df = stencil.framed(base, value, k, meta)
     n = float((2 * k + 1) ** 2)
     whole, mean = F.col("_bad") == 0, F.col("_sum") / n
@@ -244,8 +265,8 @@ def directional_relief(cells: DataFrame, meta: GridMeta, azimuth: float = 315.0)
 
 def multiscale(cells: DataFrame, meta: GridMeta, metric: str = "tri", low: int = 1, high: int = 3, step: int = 1) -> DataFrame:
     """Largest TRI, or absolute TPI, over radii low..high."""
-    out = None
+    each = []
     for radius in range(low, high + 1, step):
-        one = tri(cells, meta, radius).withColumnRenamed("tri", f"_m{radius}") if metric == "tri" else tpi(cells, meta, radius).select("r", "c", F.abs("tpi").alias(f"_m{radius}"))
-        out = one if out is None else out.join(one, ["r", "c"])
-    return out.select("r", "c", F.greatest(F.lit(0.0), *[F.col(f"_m{x}") for x in range(low, high + 1, step)]).alias("largest"))
+        one = tri(cells, meta, radius) if metric == "tri" else tpi(cells, meta, radius)
+        each.append(one.select("r", "c", F.abs(metric).alias("v")))
+    return reduce(DataFrame.unionByName, each).groupBy("r", "c").agg(F.greatest(F.lit(0.0), F.max("v")).alias("largest"))

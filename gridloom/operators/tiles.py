@@ -35,6 +35,35 @@ def dense(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, int, int]:
     return out, r0, c0
 
 
+def focal(cells: DataFrame, meta: GridMeta, fn: Callable[[np.ndarray], np.ndarray], halo: int, name: str, value: str = "z", nearest: bool = False, tile: int = 128) -> DataFrame:
+    """r, c, name: fn over each tile's array with `halo` cells around it on every side; fn
+    returns the inner part, NaN for NULL. Outside the grid there is NaN, or the nearest cell.
+
+    The grid is shuffled once, with the halo (some 4 * halo / tile more cells).
+    """
+
+    def run(key: tuple[int, int], pdf: pd.DataFrame) -> pd.DataFrame:
+        (top, left), own = (k * tile for k in key), pdf["own"].to_numpy()
+        rows, cols = min(tile, meta.rows - top), min(tile, meta.cols - left)
+        a = np.full((rows + 2 * halo, cols + 2 * halo), np.nan)
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        a[r - top + halo, c - left + halo] = pdf[value].to_numpy(dtype=float, na_value=np.nan)
+        if nearest:
+            inside = (np.clip(np.arange(at - halo, at + n + halo), 0, size - 1) - at + halo for at, n, size in ((top, rows, meta.rows), (left, cols, meta.cols)))
+            a = a[np.ix_(*inside)]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = np.asarray(fn(a), dtype=float)[r[own] - top, c[own] - left]
+        return pd.DataFrame({"r": r[own], "c": c[own], name: pd.arrays.FloatingArray(np.nan_to_num(out), np.isnan(out))})
+
+    return with_halo(cells.select("r", "c", value), tile, halo, meta).groupBy("tr", "tc").applyInPandas(run, f"r int, c int, {name} double")
+
+
+def shifted(a: np.ndarray, halo: int, dr: int, dc: int) -> np.ndarray:
+    """The inner part of an array with a halo, moved by (dr, dc)."""
+    rows, cols = a.shape
+    return a[halo + dr : rows - halo + dr, halo + dc : cols - halo + dc]
+
+
 def map_tiles(cells: DataFrame, meta: GridMeta, fn: Callable[[np.ndarray], np.ndarray], tile: int = 256, halo: int = 1, value: str = "z", name: str = "out") -> DataFrame:
     """r, c, out: fn over each tile's array with its halo; fn keeps the array's shape."""
 

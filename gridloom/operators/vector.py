@@ -53,6 +53,31 @@ def endpoint_pairs(lines: DataFrame, distance: float) -> DataFrame:
     return _near(endpoints(lines), distance).filter("id1 < id").select("id1", "which1", F.col("id").alias("id2"), F.col("which").alias("which2"), "distance")
 
 
+def snap_lines(lines: DataFrame, distance: float) -> DataFrame:
+    """Lines whose first and last points are those of `snap_endpoints`; other columns as given."""
+    moved = snap_endpoints(lines.select("id", "pts"), distance).groupBy("id").agg(
+        F.max(F.when(F.col("which") == 0, F.struct("x", "y"))).alias("_a"), F.max(F.when(F.col("which") == 1, F.struct("x", "y"))).alias("_b")
+    )
+    inner = F.slice("pts", F.lit(2), F.greatest(F.size("pts") - 2, F.lit(0)))
+    return lines.join(moved, "id").withColumn("pts", F.concat(F.array("_a"), inner, F.array("_b"))).drop("_a", "_b")
+
+
+def parts(lines: DataFrame) -> DataFrame:
+    """One line for each part (column parts: arrays of points) of two points or more: id, part, pts."""
+    return lines.select("id", F.posexplode("parts").alias("part", "pts")).filter(F.size("pts") >= 2)
+
+
+def connect(lines: DataFrame, snap: float = 50.0, delete_small: bool = True, small: float = 0.0, join: bool = False, unit: str = "map", geographic: bool = False) -> DataFrame:
+    """Lines without those shorter than `small` (0: the snap distance); with join, endpoints
+    nearer than the snap distance also move to their group's mean."""
+    scale = 1.0 / 111320.0 if unit == "metres" and geographic else 1.0
+    snap, small = snap * scale, (small if small > 0 else snap) * scale
+    some = lines.filter(F.size("pts") >= 2)
+    if delete_small:
+        some = some.filter(length_of("pts") >= small)
+    return snap_lines(some, snap) if join else some
+
+
 def snap_endpoints(lines: DataFrame, distance: float) -> DataFrame:
     """Endpoints moved to the mean of their group: id, which, x, y.
 

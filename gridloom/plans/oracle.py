@@ -123,6 +123,44 @@ def strahler_levels(levels: int = 7) -> str:
 MAIN = """me AS (SELECT sp.*, (dr_ IS NOT NULL AND row_number() OVER (PARTITION BY dr_, dc_ ORDER BY acc DESC, (ord + 4) % 8) = 1) AS main FROM sp JOIN acc USING (r, c) JOIN off ON off.code = sp.dir OR (sp.dir = 0 AND off.code = 1))"""
 
 
+def _spread(name: str, start: str, take: str, extra: str = "") -> str:
+    """Rounds in which every cell takes the least of its own value w and what its neighbours
+    (b) give it, until none changes; fix_<name> holds the last values."""
+    return f"""{name} AS (SELECT r, c, z, {start} AS w, 0 AS k, true AS moved {extra}
+UNION ALL SELECT r, c, z, nw, k + 1, bool_or(nw IS DISTINCT FROM w) OVER () FROM (SELECT a.r, a.c, a.z, a.w, a.k, least(a.w, min({take})) AS nw FROM {name} a CROSS JOIN off LEFT JOIN {name} b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.moved GROUP BY a.r, a.c, a.z, a.w, a.k)),
+fix_{name} AS (SELECT r, c, any_value(z) AS z, min(w) AS w FROM {name} GROUP BY r, c)"""
+
+
+def fill(eps: float) -> str:
+    return _spread("fi", "CASE WHEN r = 0 OR c = 0 OR r = mr OR c = mc THEN z END", f"CASE WHEN a.z >= b.w THEN a.z WHEN a.z < b.w THEN b.w + {eps!r}::DOUBLE END", "FROM dem CROSS JOIN ext")
+
+
+FLATS = stencil("fn", "lev", "z", False) + ", " + _spread("fl", 'CASE WHEN least(nw, n, ne, w, e, sw, s, se) < z OR ((r = 0 OR c = 0 OR r = mr OR c = mc) AND z IS NOT NULL) THEN 0 END', "CASE WHEN a.z = b.z THEN b.w + 1 END", "FROM fn CROSS JOIN ext")
+
+#: Accumulation on routing with cycles, whose cells pass nothing on (cycles of up to 400 cells).
+CYCLIC = f"""{d8(mode='lowest')}, lp AS MATERIALIZED (SELECT f.r, f.c, g.r AS pr, g.c AS pc FROM fd f LEFT JOIN off o ON o.code = f.dir LEFT JOIN fd g ON g.r = f.r + dr AND g.c = f.c + dc WHERE f.dir IS NOT NULL),
+rounds AS (SELECT r AS r0, c AS c0, r, c, 0 AS hop FROM lp UNION ALL SELECT w.r0, w.c0, p.pr, p.pc, hop + 1 FROM rounds w JOIN lp p ON p.r = w.r AND p.c = w.c WHERE p.pr IS NOT NULL AND hop < 400 AND (hop = 0 OR w.r <> w.r0 OR w.c <> w.c0)),
+looped AS (SELECT DISTINCT r, c FROM rounds WHERE hop > 0 AND r = r0 AND c = c0),
+free AS MATERIALIZED (SELECT * FROM lp WHERE pr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM looped l WHERE l.r = lp.r AND l.c = lp.c)),
+wl AS (SELECT r AS r0, c AS c0, r, c FROM lp UNION ALL SELECT w.r0, w.c0, p.pr, p.pc FROM wl w JOIN free p ON p.r = w.r AND p.c = w.c),
+acc AS (SELECT r, c, count(*)::DOUBLE AS acc FROM wl GROUP BY r, c)"""
+
+#: What moves along shares shr(r, c, r2, c2, s), round by round.
+SHARED = "mv AS (SELECT r, c, 1.0::DOUBLE AS a, 0 AS k FROM dem WHERE z IS NOT NULL UNION ALL SELECT r2, c2, sum(a * s), any_value(k) + 1 FROM mv JOIN shr USING (r, c) GROUP BY r2, c2), acc AS (SELECT r, c, sum(a) AS acc FROM mv GROUP BY r, c)"
+FD8 = f"sh AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2, pow((a.z - b.z) / (CASE WHEN dr <> 0 AND dc <> 0 THEN sqrt(2.0::DOUBLE) ELSE 1.0::DOUBLE END), 1.1::DOUBLE) AS w FROM dem a CROSS JOIN off JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc WHERE b.z < a.z), shr AS MATERIALIZED (SELECT r, c, r2, c2, w / sum(w) OVER (PARTITION BY r, c) AS s FROM sh), {SHARED}"
+DINF_SHARES = f"""ring(k, dr, dc) AS (VALUES (0,0,1),(1,-1,1),(2,-1,0),(3,-1,-1),(4,0,-1),(5,1,-1),(6,1,0),(7,1,1)),
+da AS (SELECT r, c, CASE WHEN ang >= 2*pi() THEN ang - 2*pi() ELSE ang END / (pi()/4) AS q FROM f4 WHERE best > 0),
+db AS (SELECT r, c, CAST(floor(q) AS INT) % 8 AS k, 1.0 - (q - floor(q)) AS s FROM da UNION ALL SELECT r, c, (CAST(floor(q) AS INT) + 1) % 8, q - floor(q) FROM da),
+shr AS MATERIALIZED (SELECT a.r, a.c, b.r AS r2, b.c AS c2, db.s FROM db JOIN dem a USING (r, c) JOIN ring USING (k) JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc WHERE db.s > 1e-12 AND b.z < a.z), {SHARED}"""
+RHO8 = """rn AS (SELECT a.r, a.c, ord, code, (a.z - b.z) / (CASE WHEN dr <> 0 AND dc <> 0 THEN 2.0::DOUBLE - CAST('0x' || substr(md5(a.r || ',' || a.c || ',' || code || ',1'), 1, 5) AS INT) / 1048576.0::DOUBLE ELSE 1.0::DOUBLE END) AS drop FROM dem a CROSS JOIN off JOIN dem b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.z IS NOT NULL AND b.z IS NOT NULL),
+rb AS (SELECT r, c, max(drop) AS best, arg_max(code, struct_pack(x := drop, y := -ord)) AS steep FROM rn GROUP BY r, c)"""
+SEGMENTS = f"""{LINKS}, {strahler_levels()},
+placed AS (SELECT w.r, w.c, h.id, w.hop, sum(CASE WHEN i.n <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY w.r0, w.c0 ORDER BY hop) AS k FROM sw w JOIN heads h ON h.r = w.r0 AND h.c = w.c0 JOIN infl i ON i.r = w.r AND i.c = w.c),
+own AS (SELECT p.r, p.c, p.id, p.hop, t.o FROM placed p JOIN stra t USING (r, c) WHERE k = 1),
+pts AS (SELECT id, hop, r, c, o FROM own UNION ALL SELECT a.id, a.hop + 1, b.r, b.c, NULL FROM own a JOIN sp ON sp.r = a.r AND sp.c = a.c JOIN own b ON b.r = sp.dr_ AND b.c = sp.dc_ WHERE b.id <> a.id),
+sg AS (SELECT *, c + 0.5::DOUBLE AS x, -(r + 0.5::DOUBLE) AS y, lag(r) OVER (PARTITION BY id ORDER BY hop) AS lr, lag(c) OVER (PARTITION BY id ORDER BY hop) AS lc FROM pts)"""
+
+
 def rays(table: list[tuple[int, int, float, float]], name: str = "ry") -> str:
     rows = ", ".join(f"({k},{i},{dy!r}::DOUBLE,{dx!r}::DOUBLE)" for k, i, dy, dx in table)
     return f"{name}_o(k, i, dy, dx) AS (VALUES {rows}), {name} AS (SELECT a.r, a.c, a.z, k, i, b.z AS v FROM dem a CROSS JOIN {name}_o JOIN dem b ON b.r = round_even(a.r + dy, 0) AND b.c = round_even(a.c + dx, 0) WHERE a.z IS NOT NULL AND b.z IS NOT NULL)"

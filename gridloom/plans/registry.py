@@ -104,7 +104,7 @@ simple("pit_breach", lambda z, m: conditioning.breach_pits(z, m), _PIT + ", pit
 # rays
 simple("openness_pos", lambda z, m: rays.openness(z, m, 5), o.rays(o.OPEN_RAYS) + ", mx AS (SELECT r, c, k, max(degrees(atan((v - z)/i))) AS a FROM ry GROUP BY r, c, k), t AS (SELECT r, c, sum(90.0 - a) AS s, count(*) AS n FROM mx GROUP BY r, c)", f"SELECT d.r, d.c, {rd('CASE WHEN z IS NOT NULL THEN radians((coalesce(s, 0.0) + (8 - coalesce(n, 0))*180.0)/8.0) END')} AS openness FROM dem d LEFT JOIN t USING (r, c)")
 simple("openness_neg", lambda z, m: rays.openness(z, m, 5, True), o.rays(o.OPEN_RAYS) + ", mx AS (SELECT r, c, k, max(degrees(atan((z - v)/i))) AS a FROM ry GROUP BY r, c, k), t AS (SELECT r, c, sum(90.0 - a) AS s, count(*) AS n FROM mx GROUP BY r, c)", f"SELECT d.r, d.c, {rd('CASE WHEN z IS NOT NULL THEN radians((coalesce(s, 0.0) + (8 - coalesce(n, 0))*180.0)/8.0) END')} AS openness FROM dem d LEFT JOIN t USING (r, c)")
-simple("wind_exposure", lambda z, m: rays.wind_exposure(z, m), o.rays(o.WIND_RAYS) + ", t AS (SELECT r, c, max((v - z)/i) AS sx FROM ry GROUP BY r, c)", f"SELECT d.r, d.c, {rd('CASE WHEN z IS NOT NULL THEN coalesce(sx, 0.0) END')} AS sx FROM dem d LEFT JOIN t USING (r, c)")
+simple("wind_exposure", lambda z, m: rays.wind_exposure(z, m, max_dist=10.0), o.rays(o.WIND_RAYS) + ", t AS (SELECT r, c, max((v - z)/i) AS sx FROM ry GROUP BY r, c)", f"SELECT d.r, d.c, {rd('CASE WHEN z IS NOT NULL THEN coalesce(sx, 0.0) END')} AS sx FROM dem d LEFT JOIN t USING (r, c)")
 
 
 def _first_observer(s, d):
@@ -125,7 +125,7 @@ simple("d8_lowest", lambda z, m: flow.d8(z, m, "lowest"), o.d8(mode="lowest"), _
 simple("d8_levels", lambda z, m: flow.d8(z, m), o.d8("lev"), _DIR, source=grids.dem_levels)
 simple("d8_force_edge", lambda z, m: flow.force_edge(flow.d8(z, m), m), o.d8(), "SELECT r, c, CAST(CASE WHEN r=0 AND c=0 THEN 32 WHEN r=0 AND c=mc THEN 128 WHEN r=mr AND c=0 THEN 8 WHEN r=mr AND c=mc THEN 2 WHEN r=0 THEN 64 WHEN r=mr THEN 4 WHEN c=0 THEN 16 WHEN c=mc THEN 1 ELSE dir END AS INT) AS dir FROM fd CROSS JOIN ext")
 simple("mfd_direction", lambda z, m: flow.d8(z, m), o.d8(), _DIR)
-add("rho8", on_dem(lambda z, m: flow.rho8(z, m)))
+simple("rho8", lambda z, m: flow.rho8(z, m), o.RHO8, "SELECT d.r, d.c, CAST(CASE WHEN d.z IS NULL THEN NULL WHEN best > 0 THEN steep ELSE 0 END AS INT) AS dir FROM dem d LEFT JOIN rb USING (r, c)")
 
 
 def _dinf_sql() -> str:
@@ -143,9 +143,14 @@ _ACC_OUT = f"SELECT d.r, d.c, {rd('acc')} AS acc FROM dem d LEFT JOIN acc USING
 simple("acc_d8", lambda z, m: flow.accumulate(flow.d8(z, m), m), o.FLOW, _ACC_OUT, True)
 simple("acc_log", lambda z, m: flow.accumulate(flow.d8(z, m), m).select("r", "c", local.log_transform(F.col("acc")).alias("acc")), o.FLOW, f"SELECT d.r, d.c, {rd('log10(acc + 1.0)')} AS acc FROM dem d LEFT JOIN acc USING (r, c)", True)
 add("acc_weighted", lambda s, d: rounded(flow.accumulate(flow.d8(z := grids.dem(s, d), m := meta_of(z)), m, grids.weights(s, d))), o.q(f"{o.d8()}, {o.walk()}, wa AS (SELECT w.r, w.c, sum(CASE WHEN event_type = 'purchase' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) AS acc FROM walk w JOIN ev e ON e.r = w.r0 AND e.c = w.c0 GROUP BY w.r, w.c)", f"SELECT d.r, d.c, {rd('acc')} AS acc FROM dem d LEFT JOIN wa USING (r, c)", True))
-add("acc_lowest", on_dem(lambda z, m: flow.accumulate(flow.d8(z, m, "lowest"), m, cyclic=True)))
-add("acc_fd8", on_dem(lambda z, m: flow.accumulate_fd8(z, m)))
-add("acc_dinf", on_dem(lambda z, m: flow.accumulate_dinf(z, m)))
+simple("acc_lowest", lambda z, m: flow.accumulate(flow.d8(z, m, "lowest"), m, cyclic=True), o.CYCLIC, _ACC_OUT, True)
+_SHARED_OUT = "SELECT d.r, d.c, round(CASE WHEN z IS NOT NULL THEN acc END, 4) + 0.0 AS acc FROM dem d LEFT JOIN acc USING (r, c)"  # sums in another order
+_four = lambda df: df.select("r", "c", F.round("acc", 4).alias("acc"))
+simple("acc_fd8", lambda z, m: _four(flow.accumulate_fd8(z, m)), o.FD8, _SHARED_OUT, True)
+simple("acc_dinf", lambda z, m: _four(flow.accumulate_dinf(z, m)), f"{_dinf_sql()}, {o.DINF_SHARES}", _SHARED_OUT, True)
+simple("route_fd8", lambda z, m: _four(flow.route(z, m)), o.FD8, _SHARED_OUT, True)
+simple("watershed_cell", lambda z, m: flow.watershed_of_cell(flow.d8(z, m), m, 5, 60), f"{o.d8()}, {o.walk()}, t AS (SELECT DISTINCT r0, c0 FROM walk WHERE r = 5 AND c = 60)", "SELECT d.r, d.c, CAST(CASE WHEN r0 IS NULL THEN 0 ELSE 1 END AS INT) AS watershed FROM dem d LEFT JOIN t ON r0 = d.r AND c0 = d.c", True)
+simple("path_statistic_longest", lambda z, m: flow.path_statistic("longest_flowpath", flow.d8(z, m), m), f"{o.d8()}, {o.walk()}, t AS (SELECT r0 AS r, c0 AS c, max(len) AS v FROM walk GROUP BY r0, c0), u AS (SELECT r, c, max(len) AS v FROM walk GROUP BY r, c)", f"SELECT d.r, d.c, {rd('t.v + u.v')} AS value FROM dem d LEFT JOIN t USING (r, c) LEFT JOIN u USING (r, c)", True)
 simple("flow_len_down", lambda z, m: flow.length_down(flow.d8(z, m), m), f"{o.d8()}, {o.walk()}, t AS (SELECT r0 AS r, c0 AS c, max(len) AS v FROM walk GROUP BY r0, c0)", f"SELECT d.r, d.c, {rd('v')} AS down FROM dem d LEFT JOIN t USING (r, c)", True)
 simple("flow_len_up", lambda z, m: flow.length_up(flow.d8(z, m), m), f"{o.d8()}, {o.walk()}, t AS (SELECT r, c, max(len) AS v FROM walk GROUP BY r, c)", f"SELECT d.r, d.c, {rd('v')} AS up FROM dem d LEFT JOIN t USING (r, c)", True)
 _BOTH = f"{o.d8()}, {o.walk()}, t AS (SELECT r, c, max(len) AS u FROM walk GROUP BY r, c), v AS (SELECT r0 AS r, c0 AS c, max(len) AS w FROM walk GROUP BY r0, c0)"
@@ -197,9 +202,13 @@ for _k, _e in {"twi": "ln(a/tan(greatest(rad, 0.001::DOUBLE)))", "spi": "a*tan(r
     simple("valley_index" if _k == "valley" else _k, (lambda k: lambda z, m: flow.indices(z, m).select("r", "c", k))(_k), _IX, f"SELECT r, c, {rd(f'CASE WHEN rad IS NOT NULL AND acc IS NOT NULL THEN {_e} END')} AS {_k} FROM ix", True)
 
 # conditioning
+_FILLED = {
+    "fill": o.q(o.fill(1e-3), f"SELECT r, c, {rd('coalesce(w, z)')} AS filled FROM fix_fi", True), "fill_eps0": o.q(o.fill(0.0), f"SELECT r, c, {rd('coalesce(w, z)')} AS filled FROM fix_fi", True),
+    "sink_depth": o.q(o.fill(1e-3), f"SELECT r, c, {rd('coalesce(w, z) - z')} AS depth FROM fix_fi", True), "sinks": o.q(o.fill(1e-3), "SELECT r, c, CAST(CASE WHEN coalesce(w, z) - z > 0 THEN 1 ELSE 0 END AS INT) AS sink FROM fix_fi", True),
+}
 for _k, _f in {"fill": lambda z, m: conditioning.fill(z, m, tile=64), "fill_eps0": lambda z, m: conditioning.fill(z, m, 0.0, tile=64), "sink_depth": lambda z, m: conditioning.sink_depth(z, m).select("r", "c", "depth"), "sinks": lambda z, m: conditioning.sink_depth(z, m).select("r", "c", "sink"), "breach": lambda z, m: conditioning.breach(z, m)}.items():
-    add(_k, on_dem(_f))
-add("resolve_flats", on_dem(lambda z, m: conditioning.resolve_flats(z, m), grids.dem_levels))
+    add(_k, on_dem(_f), _FILLED.get(_k))
+simple("resolve_flats", lambda z, m: conditioning.resolve_flats(z, m), o.FLATS, f"SELECT r, c, {rd('z + coalesce(w, 0) * 1e-6::DOUBLE')} AS z FROM fix_fl", True, grids.dem_levels)
 add("tiles_map", on_dem(lambda z, m: tiles.map_tiles(z, m, lambda a: a * 2.0, tile=32, halo=1)), o.q("", f"SELECT r, c, {rd('z*2.0')} AS \"out\" FROM dem"))
 
 
@@ -268,7 +277,11 @@ _FIRST = f"{o.STREAMS}, fs AS (SELECT w.r0, w.c0, min(w.hop) AS h FROM walk w JO
 net("dist_to_stream", lambda z, m, f, a, s: flow.above_stream(f, m, s, z).select("r", "c", "dist"), _FIRST, f"SELECT d.r, d.c, {rd('len')} AS dist FROM dem d LEFT JOIN ft ON r0 = d.r AND c0 = d.c")
 net("hand", lambda z, m, f, a, s: flow.above_stream(f, m, s, z).select("r", "c", "hand"), _FIRST, f"SELECT d.r, d.c, {rd('d.z - e.z')} AS hand FROM dem d LEFT JOIN ft ON r0 = d.r AND c0 = d.c LEFT JOIN dem e ON e.r = ft.r AND e.c = ft.c")
 net("hillslopes", lambda z, m, f, a, s: flow.watersheds(f, m, streams.link_ids(f, s, m).select("r", "c", F.col("link").cast("long").alias("seed"))), f"{o.LINKS}, fl AS (SELECT w.r0, w.c0, arg_min(l.id, w.hop) AS id FROM walk w JOIN link l USING (r, c) GROUP BY w.r0, w.c0)", "SELECT d.r, d.c, CAST(coalesce(id, 0) AS BIGINT) AS watershed FROM dem d LEFT JOIN fl ON r0 = d.r AND c0 = d.c")
-add("segments", on_net(lambda z, m, f, a, s: grids.lines_to_wkt(streams.segments(f, s, streams.strahler(f, s, m), m)).select("id", "order", "length", "wkt")))
+_WKT = "'LINESTRING (' || string_agg(x || ' ' || y, ', ' ORDER BY hop) || ')'"
+net("segments", lambda z, m, f, a, s: grids.lines_to_wkt(streams.segments(f, s, streams.strahler(f, s, m), m)).select("id", "order", "length", "wkt"), o.SEGMENTS, f"SELECT id, CAST(max(o) AS INT) AS \"order\", {rd('sum(coalesce(sqrt((r-lr)*(r-lr) + (c-lc)*(c-lc)), 0.0::DOUBLE))')} AS length, {_WKT} AS wkt FROM sg GROUP BY id HAVING count(*) >= 2")
+net("stream_slope_degrees", lambda z, m, f, a, s: streams.slope_degrees(f, s, z, m), o.STREAMS, f"SELECT d.r, d.c, {rd('CASE WHEN s.r IS NULL THEN 0.0::DOUBLE ELSE coalesce(degrees(atan((d.z - e.z)/p.step)), 0.0::DOUBLE) END')} AS slope FROM dem d LEFT JOIN st5 s USING (r, c) LEFT JOIN walk_p p ON p.r = d.r AND p.c = d.c AND p.pr IS NOT NULL LEFT JOIN dem e ON e.r = p.pr AND e.c = p.pc")
+net("class_stream", lambda z, m, f, a, s: s.select("r", "c", local.stream_class(F.col("stream")).alias("class")), o.FLOW, "SELECT d.r, d.c, CAST(CASE WHEN acc > 5 THEN 1 ELSE 0 END AS INT) AS class FROM dem d LEFT JOIN acc USING (r, c)")
+add("raster_to_vector", on_net(lambda z, m, f, a, s: grids.lines_to_wkt(streams.raster_to_vector(f, s, m, z, a, gap=3.5, min_length=2.0)).select("id", "order", "length", "wkt")))
 
 # vectors
 _LINES = "li AS (SELECT l_orderkey AS id, (l_partkey % 100)::DOUBLE AS x, (l_suppkey % 100)::DOUBLE AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem), sg AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY k) AS px, lag(y) OVER (PARTITION BY id ORDER BY k) AS py FROM li), ln AS (SELECT id, count(*) AS n, coalesce(sum(sqrt((x-px)*(x-px) + (y-py)*(y-py))), 0.0) AS length FROM sg GROUP BY id)"
@@ -283,7 +296,9 @@ def _some_lines(s, d):
 
 
 _ENDS = f"{_LINES}, ends AS (SELECT l.id, w.which, l.x + (l.id % 37)*300 AS x, l.y + (l.id % 41)*300 AS y FROM li l JOIN ln USING (id) CROSS JOIN (VALUES (0), (1)) w(which) WHERE n >= 2 AND l.k = CASE WHEN which = 0 THEN 1 ELSE n END)"
-add("vector_pairs", lambda s, d: rounded(vector.endpoint_pairs(_some_lines(s, d), 1.5)), o.q(_ENDS, f"SELECT CAST(a.id AS BIGINT) AS id1, a.which AS which1, CAST(b.id AS BIGINT) AS id2, b.which AS which2, {rd('sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))')} AS distance FROM ends a JOIN ends b ON a.id < b.id AND abs(a.x-b.x) < 1.5 AND abs(a.y-b.y) < 1.5 WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) < 1.5"))
+_NEAR = f"{_ENDS}, grid AS (SELECT *, CAST(floor(x / 1.5::DOUBLE) AS INT) AS qx, CAST(floor(y / 1.5::DOUBLE) AS INT) AS qy FROM ends), ask AS (SELECT id, which, x, y, qx + i.i AS qx, qy + j.j AS qy FROM grid CROSS JOIN range(-1, 2) i(i) CROSS JOIN range(-1, 2) j(j)), near AS (SELECT a.id AS id1, a.which AS which1, b.id AS id2, b.which AS which2, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS distance FROM ask a JOIN grid b ON a.qx = b.qx AND a.qy = b.qy WHERE a.id < b.id)"
+add("vector_pairs", lambda s, d: rounded(vector.endpoint_pairs(_some_lines(s, d), 1.5)), o.q(_NEAR, f"SELECT CAST(id1 AS BIGINT) AS id1, which1, CAST(id2 AS BIGINT) AS id2, which2, {rd('distance')} AS distance FROM near WHERE distance < 1.5"))
+add("vector_connect", lambda s, d: rounded(vector.connect(grids.order_lines(s, d), 60.0).select("id", vector.length_of("pts").alias("length"))), o.q(_LINES, f"SELECT CAST(id AS BIGINT) AS id, {rd('length')} AS length FROM ln WHERE n >= 2 AND length >= 60"))
 add("snap_endpoints", lambda s, d: rounded(vector.snap_endpoints(_some_lines(s, d), 1.5)))
 
 # classes

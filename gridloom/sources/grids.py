@@ -95,6 +95,22 @@ def rasterise(points: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.select("r", "c").join(at, ["r", "c"], "left").select("r", "c", F.coalesce("pid", F.lit(0)).cast("long").alias("seed"))
 
 
+def single_points(points: DataFrame) -> DataFrame:
+    """One row for each point of a multipoint (column pts), ids as given."""
+    return points.select(*[c for c in points.columns if c != "pts"], F.explode("pts").alias("_p")).withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")}).drop("_p")
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Points as WKT with all their attributes."""
+    text = F.concat(F.lit("POINT ("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(")"))
+    points.withColumn("wkt", text).write.mode("overwrite").parquet(path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (id, order, length) as WKT."""
+    lines_to_wkt(lines).select("id", "order", "length", "wkt").write.mode("overwrite").parquet(path)
+
+
 def lines_to_wkt(lines: DataFrame) -> DataFrame:
     text = F.concat(F.lit("LINESTRING ("), F.concat_ws(", ", F.transform("pts", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))), F.lit(")"))
     return lines.withColumn("wkt", text)

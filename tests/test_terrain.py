@@ -7,7 +7,7 @@ import random
 import pytest
 
 from gridloom.meta import D8, GridMeta, meta_of
-from gridloom.operators import conditioning, flow, streams, terrain, vector
+from gridloom.operators import conditioning, flow, streams, terrain, tiles, vector
 
 
 def grid(spark, rows):
@@ -122,3 +122,66 @@ def test_entry_without_llm():
     import __spark_entry__
 
     assert len(__spark_entry__.queries()) > 100
+
+
+def test_serpentine_fill_and_flats_over_many_tiles(spark):
+    rows = [[9.0] * 16 for _ in range(16)]
+    for k, r in enumerate(range(1, 15, 2)):
+        for c in range(1, 15):
+            rows[r][c] = 3.0
+        if r < 13:
+            rows[r + 1][14 if k % 2 == 0 else 1] = 3.0
+    rows[13][15] = 2.0
+    df, m = grid(spark, rows)
+    assert values(conditioning.fill(df, m, 1e-3, tile=4), "filled") == pytest.approx(brute_fill(rows, 1e-3))
+    flat = values(conditioning.resolve_flats(df, m, 1e-3, tile=4), "z")
+    assert flat == values(conditioning.resolve_flats(df, m, 1e-3, tile=64), "z")
+    assert flat[13, 14] == 3.0 and flat[1, 1] > 3.08
+
+
+def test_proportional_accumulation_does_not_depend_on_tiles(spark):
+    rng = random.Random(7)
+    rows = [[100.0 - 2 * c - r + rng.random() * 3 for c in range(14)] for r in range(11)]
+    df, m = grid(spark, rows)
+    shares = flow._proportional(df, m, 1.1)
+    small, whole = (values(flow._spread(df, shares, tile=t), "acc") for t in (3, 64))
+    assert small == pytest.approx(whole)
+    level = {(r, c): rows[r][c] for r in range(11) for c in range(14)}
+    expected = dict.fromkeys(level, 1.0)
+    for at in sorted(level, key=lambda p: -level[p]):
+        lower = [((at[0] + i, at[1] + j), ((level[at] - level[at[0] + i, at[1] + j]) / m.step(i, j)) ** 1.1) for _, i, j in D8 if level.get((at[0] + i, at[1] + j), 1e9) < level[at]]
+        for n, w in lower:
+            expected[n] += expected[at] * w / sum(x for _, x in lower)
+    assert whole == pytest.approx(expected)
+
+
+def test_focal_tiles_have_their_halo(spark):
+    from gridloom.operators import rays
+
+    rng = random.Random(9)
+    rows = [[rng.random() * 9 if rng.random() > 0.1 else None for _ in range(9)] for _ in range(7)]
+    df, m = grid(spark, rows)
+    whole = values(tiles.focal(df, m, lambda a: tiles.shifted(a, 2, 0, 2) + tiles.shifted(a, 2, -1, 0), 2, "v", nearest=True), "v")
+    cut = values(tiles.focal(df, m, lambda a: tiles.shifted(a, 2, 0, 2) + tiles.shifted(a, 2, -1, 0), 2, "v", nearest=True, tile=3), "v")
+    for (r, c), v in whole.items():
+        a, b = rows[r][min(8, c + 2)], rows[max(0, r - 1)][c]
+        assert cut[r, c] == v == (None if a is None or b is None else a + b)
+    assert values(rays.wind_exposure(df, m, 90.0, 2.0), "sx")[3, 8] in (0.0, None)
+
+
+def test_unequal_cells(spark):
+    df, _ = grid(spark, [[9, 9, 9], [9, 8, 9], [9, 4, 9]])
+    m = GridMeta(3, 3, dx=1.0, dy=4.0)
+    assert values(flow.dinf(df, m), "angle")[1, 1] == pytest.approx(3 * math.pi / 2)
+    assert values(flow.drop_slope(flow.d8(df, m), m, df), "fall")[1, 1] == pytest.approx(1.0)
+
+
+def test_breach_limits_and_connect(spark):
+    df, m = grid(spark, [[9] * 7, [9, 3, 5, 9, 9, 9, 2], [9] * 7])
+    open_ = values(conditioning.breach(df, m), "z")
+    assert any(open_[k] != v for k, v in values(df, "z").items())
+    for limits in ({"max_depth": 0.1}, {"max_length": 0.5}):
+        assert values(conditioning.breach(df, m, **limits), "z") == values(df, "z")
+    lines = spark.createDataFrame([(1, [(0.0, 0.0), (50.0, 0.0)]), (2, [(50.5, 0.0), (90.0, 0.0)]), (3, [(7.0, 7.0), (7.5, 7.0)])], "id long, pts array<struct<x double, y double>>")
+    got = {r["id"]: [p["x"] for p in r["pts"]] for r in vector.connect(lines, 1.0, join=True).collect()}
+    assert got == {1: [0.0, 50.25], 2: [50.25, 90.0]}
