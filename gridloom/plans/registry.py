@@ -281,7 +281,7 @@ _WKT = "'LINESTRING (' || string_agg(x || ' ' || y, ', ' ORDER BY hop) || ')'"
 net("segments", lambda z, m, f, a, s: grids.lines_to_wkt(streams.segments(f, s, streams.strahler(f, s, m), m)).select("id", "order", "length", "wkt"), o.SEGMENTS, f"SELECT id, CAST(max(o) AS INT) AS \"order\", {rd('sum(coalesce(sqrt((r-lr)*(r-lr) + (c-lc)*(c-lc)), 0.0::DOUBLE))')} AS length, {_WKT} AS wkt FROM sg GROUP BY id HAVING count(*) >= 2")
 net("stream_slope_degrees", lambda z, m, f, a, s: streams.slope_degrees(f, s, z, m), o.STREAMS, f"SELECT d.r, d.c, {rd('CASE WHEN s.r IS NULL THEN 0.0::DOUBLE ELSE coalesce(degrees(atan((d.z - e.z)/p.step)), 0.0::DOUBLE) END')} AS slope FROM dem d LEFT JOIN st5 s USING (r, c) LEFT JOIN walk_p p ON p.r = d.r AND p.c = d.c AND p.pr IS NOT NULL LEFT JOIN dem e ON e.r = p.pr AND e.c = p.pc")
 net("class_stream", lambda z, m, f, a, s: s.select("r", "c", local.stream_class(F.col("stream")).alias("class")), o.FLOW, "SELECT d.r, d.c, CAST(CASE WHEN acc > 5 THEN 1 ELSE 0 END AS INT) AS class FROM dem d LEFT JOIN acc USING (r, c)")
-add("raster_to_vector", on_net(lambda z, m, f, a, s: grids.lines_to_wkt(streams.raster_to_vector(f, s, m, z, a, gap=3.5, min_length=2.0)).select("id", "order", "length", "wkt")))
+add("raster_to_vector", on_net(lambda z, m, f, a, s: grids.lines_to_wkt(streams.raster_to_vector(f, s, m, z)).select("id", "order", "length", "wkt")))
 
 # vectors
 _LINES = "li AS (SELECT l_orderkey AS id, (l_partkey % 100)::DOUBLE AS x, (l_suppkey % 100)::DOUBLE AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem), sg AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY k) AS px, lag(y) OVER (PARTITION BY id ORDER BY k) AS py FROM li), ln AS (SELECT id, count(*) AS n, coalesce(sum(sqrt((x-px)*(x-px) + (y-py)*(y-py))), 0.0) AS length FROM sg GROUP BY id)"
