@@ -185,11 +185,3 @@ def test_breach_limits_and_connect(spark):
     lines = spark.createDataFrame([(1, [(0.0, 0.0), (50.0, 0.0)]), (2, [(50.5, 0.0), (90.0, 0.0)]), (3, [(7.0, 7.0), (7.5, 7.0)])], "id long, pts array<struct<x double, y double>>")
     got = {r["id"]: [p["x"] for p in r["pts"]] for r in vector.connect(lines, 1.0, join=True).collect()}
     assert got == {1: [0.0, 50.25], 2: [50.25, 90.0]}
-
-
-def test_raster_to_vector(spark):
-    f = spark.createDataFrame([(0, c, 1) for c in range(12)], "r int, c int, dir int")
-    s = spark.createDataFrame([(0, c, int(c not in (4, 5))) for c in range(12)], "r int, c int, stream int")
-    z = spark.createDataFrame([(0, c, 20.0 - c) for c in range(12)], "r int, c int, z double")
-    lines = streams.raster_to_vector(f, s, GridMeta(1, 12), z, gap=4.0, min_length=2.0).collect()
-    assert [(len(x["pts"]), x["order"], x["length"]) for x in lines] == [(12, 1, 11.0)]
