@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,15 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to shared storage."""
+    """df, written to shared storage and read again.
+
+    A checkpoint would keep the estimated size of its plan. Joins multiply such estimates, so
+    over the rounds of a loop they become numbers of millions of digits, and planning never
+    ends. A written table has the size of its files.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, checkpointed unless it comes straight from a checkpoint: for grids that several
+    """df, cut unless it comes straight from a cut: for grids that several
     branches of a plan read."""
     if getattr(df, "_settled", False):
         return df
