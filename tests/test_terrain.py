@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.meta import D8, GridMeta, meta_of
 from gridloom.operators import conditioning, flow, streams, terrain, tiles, vector
@@ -185,3 +186,22 @@ def test_breach_limits_and_connect(spark):
     lines = spark.createDataFrame([(1, [(0.0, 0.0), (50.0, 0.0)]), (2, [(50.5, 0.0), (90.0, 0.0)]), (3, [(7.0, 7.0), (7.5, 7.0)])], "id long, pts array<struct<x double, y double>>")
     got = {r["id"]: [p["x"] for p in r["pts"]] for r in vector.connect(lines, 1.0, join=True).collect()}
     assert got == {1: [0.0, 50.25], 2: [50.25, 90.0]}
+
+
+def test_raster_to_vector(spark):
+    z = [[20 - r + abs(c - 3) * 2.0 for c in range(7)] for r in range(9)]
+    cells, m = grid(spark, z)
+    d = flow.settled(flow.d8(cells, m))
+    acc = flow.accumulate(d, m)
+    on = streams.extract(acc, 3.0)
+
+    def lines(df):
+        return sorted((x["order"], tuple((p["x"], p["y"]) for p in x["pts"])) for x in df.collect())
+
+    plain = lines(streams.segments(d, on, streams.strahler(d, on, m), m))
+    holed = on.select("r", "c", F.when((F.col("r") == 4) & (F.col("c") == 3), 0).otherwise(F.col("stream")).alias("stream"))
+    assert plain and lines(streams.raster_to_vector(d, holed, m, cells, gap=3.0, snap=1e-6)) == plain
+    cleaned = streams.raster_to_vector(d, holed, m, cells, acc=acc, gap=3.0, min_length=2.0, remove_isolated_streams=True, snap=1e-6)
+    kept = cleaned.collect()
+    assert kept and all(x["length"] >= 0.2 for x in kept)
+    assert {(p["x"], p["y"]) for x in kept for p in x["pts"]} <= {p for _, line in plain for p in line}
