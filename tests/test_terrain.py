@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.meta import D8, GridMeta, meta_of
-from gridloom.operators import conditioning, flow, streams, terrain, tiles, vector
+from gridloom.operators import conditioning, flow, rays, streams, terrain, tiles, vector
 
 
 def grid(spark, rows):
@@ -119,6 +119,29 @@ def test_snapping(spark):
     assert vector.endpoint_pairs(lines, 1.0).count() == 1
 
 
+def test_viewshed_beyond_int_products(spark):
+    far = spark.createDataFrame([(0, 0, 0.0), (35000, 0, 100.0), (70000, 0, 0.0), (70000, 1, None)], "r int, c int, z double")
+    assert values(rays.viewshed(far, 0, 0), "seen") == {(0, 0): 1, (35000, 0): 1, (70000, 0): 0, (70000, 1): 0}
+
+
+@pytest.mark.parametrize("sector", [1 << 19, 90])
+def test_viewshed_like_brute_force(spark, monkeypatch, sector):
+    monkeypatch.setattr(rays, "SECTOR", sector)
+    rng = random.Random(8)
+    rows = [[None if rng.random() < 0.03 else (c - 60) ** 2 / 90 + 4 * rng.random() for c in range(150)] for _ in range(6)]
+    df, _ = grid(spark, rows)
+    for r0, c0 in ((0, 0), (3, 70)):
+        rows[r0][c0] = 5.0
+        df = df.filter((F.col("r") != r0) | (F.col("c") != c0)).union(spark.createDataFrame([(r0, c0, 5.0)], "r int, c int, z double"))
+        want = {}
+        for r in range(6):
+            for c in range(150):
+                z, dist = rows[r][c], math.sqrt((r - r0) ** 2 + (c - c0) ** 2)
+                samples = [(i, rows[round(r0 + i * (r - r0) / int(dist))][round(c0 + i * (c - c0) / int(dist))]) for i in range(1, int(dist))]
+                want[r, c] = int(z is not None and not any(s is not None and s > 6.8 + i * (z - 6.8) / dist for i, s in samples))
+        assert values(rays.viewshed(df, r0, c0), "seen") == want and 0 < sum(want.values()) < 900
+
+
 def test_entry_without_llm():
     import __spark_entry__
 
