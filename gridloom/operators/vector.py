@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,35 +79,90 @@ def connect(lines: DataFrame, snap: float = 50.0, delete_small: bool = True, sma
     return snap_lines(some, snap) if join else some
 
 
+#: Side of a tile and width of its halo, in snap distances.
+TILE, HALO = 64, 8
+FREE, LEADER, TAKEN = range(3)
+
+
+def _settle(pdf: pd.DataFrame, side: float, halo: float, distance: float) -> pd.DataFrame:
+    """One greedy sweep in endpoint order over a tile's places and those around it; the tile's
+    own places with what is certain of them.
+
+    A place is taken by the first leader nearer than distance and leads if there is none. While
+    earlier places near it are open, or may lie outside what the tile reads, it stays free; a
+    taken place is not settled while an earlier place near it may lead.
+    """
+    pdf = pdf.sort_values(["key", "x", "y"]).reset_index(drop=True)
+    x, y, own = (pdf[n].to_numpy() for n in ("x", "y", "own"))
+    reach = halo - 2 * distance
+    full = own.copy()
+    if reach > 0:
+        at = [(v - t * side >= -reach) & (v - t * side < side + reach) for v, t in ((x, int(pdf["tx"].iloc[0])), (y, int(pdf["ty"].iloc[0])))]
+        full |= at[0] & at[1]
+    bx, by = np.floor(x / distance).astype(np.int64), np.floor(y / distance).astype(np.int64)
+    leaders: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
+    open_: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
+    limit, states, owners, settled = distance * distance, [], [], []
+    for k, (px, py, p, q, s, whole) in enumerate(zip(x.tolist(), y.tolist(), bx.tolist(), by.tolist(), pdf["state"].tolist(), full.tolist(), strict=True)):
+        near = [(i, j) for i in (p - 1, p, p + 1) for j in (q - 1, q, q + 1)]
+        first = -1
+        for b in near:
+            for o, ox, oy in leaders.get(b, ()):
+                if (first < 0 or o < first) and (ox - px) ** 2 + (oy - py) ** 2 < limit:
+                    first = o
+        known = whole and not any((first < 0 or o < first) and (ox - px) ** 2 + (oy - py) ** 2 < limit for b in near if b in open_ for o, ox, oy in open_[b])
+        if s == FREE and first >= 0:
+            s = TAKEN
+        elif s == FREE and known:
+            s = LEADER
+        if s == LEADER:
+            first = k
+            leaders.setdefault((p, q), []).append((k, px, py))
+        elif s == FREE:
+            open_.setdefault((p, q), []).append((k, px, py))
+        states.append(s)
+        settled.append(s == LEADER or s == TAKEN and known)
+        owners.append(max(first, 0))
+    pdf["state"], pdf["settled"] = np.array(states, dtype=np.int32), settled
+    pdf["ox"], pdf["oy"] = x[owners], y[owners]
+    return pdf.loc[own, ["x", "y", "key", "n", "state", "settled", "ox", "oy"]]
+
+
 def snap_endpoints(lines: DataFrame, distance: float) -> DataFrame:
     """Endpoints moved to the mean of their group: id, which, x, y.
 
     Groups form greedily in endpoint order: an unused endpoint takes all unused ones nearer
-    than distance. Endpoints that no chain of near ones links never meet, so each connected
-    component is grouped alone and lone endpoints not at all.
+    than distance. So an endpoint leads unless an earlier leader is near, and belongs to the
+    first that is. Endpoints at one place share their fate and are one row. Tiles with a halo
+    settle what they can; those with open places are asked again until all are settled (the
+    first open place always can be). Endpoints without finite coordinates stay as they are.
     """
     from ..plans.lineage import cut
-    from .graph import label_components
-
-    key = F.col("id") * 2 + F.col("which")
-    e = cut(endpoints(lines).withColumn("node", key))
-    pairs = _near(e.select("id", "which", "x", "y"), distance).select(key.alias("node"), (F.col("id1") * 2 + F.col("which1")).alias("other")).filter("node <> other")
-    pairs = cut(pairs)
-    comp = label_components(pairs, pairs.select("node").distinct())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "which"]).reset_index(drop=True)
-        used = [False] * len(pdf)
-        x, y = pdf["x"].to_numpy(copy=True), pdf["y"].to_numpy(copy=True)
-        ox, oy = x.copy(), y.copy()
-        for i in range(len(pdf)):
-            if used[i]:
-                continue
-            near = [j for j in range(len(pdf)) if not used[j] and (ox[j] - ox[i]) ** 2 + (oy[j] - oy[i]) ** 2 < distance * distance]
-            for j in near:
-                used[j] = True
-                x[j], y[j] = ox[near].mean(), oy[near].mean()
-        return pd.DataFrame({"id": pdf["id"], "which": pdf["which"], "x": x, "y": y})
-
-    alone = e.join(comp, "node", "left_anti").select("id", "which", "x", "y")
-    return e.join(comp, "node").select("id", "which", "x", "y", "comp").groupBy("comp").applyInPandas(run, "id long, which int, x double, y double").unionByName(alone)
+
+    side, halo = TILE * distance, HALO * distance
+    e = cut(endpoints(lines))
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    places = e.filter(finite).groupBy("x", "y").agg(F.min(F.col("id") * 2 + F.col("which")).alias("key"), F.count(F.lit(1)).alias("n"))
+
+    def home(v):
+        return F.floor(F.col(v) / side)
+
+    def spans(v):
+        return F.sequence(F.floor((F.col(v) - halo) / side), F.floor((F.col(v) + halo) / side))
+
+    def swept(df, among=None):
+        wide = df.select("x", "y", "key", "n", "state").withColumn("tx", F.explode(spans("x"))).withColumn("ty", F.explode(spans("y")))
+        wide = wide.withColumn("own", (F.col("tx") == home("x")) & (F.col("ty") == home("y")))
+        if among is not None:
+            wide = wide.join(among, ["tx", "ty"], "left_semi")
+        return wide.groupBy("tx", "ty").applyInPandas(lambda pdf: _settle(pdf, side, halo, distance), "x double, y double, key long, n long, state int, settled boolean, ox double, oy double")
+
+    known = cut(swept(places.withColumn("state", F.lit(FREE))))
+    while (again := known.filter("not settled").select(home("x").alias("tx"), home("y").alias("ty")).distinct()).limit(1).count():
+        again = cut(again)
+        rest = known.withColumns({"tx": home("x"), "ty": home("y")}).join(again, ["tx", "ty"], "left_anti").select(*known.columns)
+        known = cut(rest.unionByName(swept(known, again)))
+    weight = F.sum("n")
+    groups = known.groupBy("ox", "oy").agg(F.count(F.lit(1)).alias("size"), (F.sum(F.col("x") * F.col("n")) / weight).alias("mx"), (F.sum(F.col("y") * F.col("n")) / weight).alias("my"))
+    moved = known.join(groups.filter("size > 1"), ["ox", "oy"]).select("x", "y", "mx", "my")
+    return e.join(moved, ["x", "y"], "left").select("id", "which", F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y"))

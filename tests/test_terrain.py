@@ -119,6 +119,24 @@ def test_snapping(spark):
     assert vector.endpoint_pairs(lines, 1.0).count() == 1
 
 
+@pytest.mark.parametrize("halo", [1, 4])
+def test_snapping_one_component_over_many_tiles(spark, monkeypatch, halo):
+    monkeypatch.setattr(vector, "TILE", 3)
+    monkeypatch.setattr(vector, "HALO", halo)
+    rng = random.Random(4)
+    lines = [(i, [(rng.randrange(-9, 12) * 1.0, rng.random() * 15) for _ in (0, 1)]) for i in range(250)] + [(1000 + i, [(30 + 0.9 * i, 0.0), (30 + 0.9 * i, 0.0)]) for i in range(20)]
+    left = sorted((i, w, *p) for i, pts in lines for w, p in enumerate(pts))
+    want = {}
+    while left:
+        group = [e for e in left if (e[2] - left[0][2]) ** 2 + (e[3] - left[0][3]) ** 2 < 1.5**2]
+        want |= {e[:2]: tuple(pytest.approx(sum(g[k] for g in group) / len(group)) for k in (2, 3)) for e in group}
+        left = [e for e in left if e not in group]
+    df = spark.createDataFrame([*lines, (5000, [(None, 1.0), (float("nan"), 2.0)])], "id long, pts array<struct<x double, y double>>")
+    got = {(r["id"], r["which"]): (r["x"], r["y"]) for r in vector.snap_endpoints(df, 1.5).collect()}
+    assert got.pop((5000, 0)) == (None, 1.0) and math.isnan(got.pop((5000, 1))[0])
+    assert got == want
+
+
 def test_viewshed_beyond_int_products(spark):
     far = spark.createDataFrame([(0, 0, 0.0), (35000, 0, 100.0), (70000, 0, 0.0), (70000, 1, None)], "r int, c int, z double")
     assert values(rays.viewshed(far, 0, 0), "seen") == {(0, 0): 1, (35000, 0): 1, (70000, 0): 0, (70000, 1): 0}
