@@ -118,6 +118,37 @@ def test_passage_behind_an_unrelated_first_origin(spark):
     assert got == {(2, 1)}
 
 
+def test_passage_between_unrelated_documents(spark):
+    rng = random.Random(22)
+    passage = sentence(rng, 60, 10**6).split()
+    scattered = [" ".join(" ".join(passage[i : i + 6]) + " " + sentence(rng, 90, 10**6) for i in range(60)) for _ in range(2)]
+    fuzzy = [w if (i + 1) % 10 else "new" for i, w in enumerate(passage)]
+    docs = [(0, scattered[0], "a"), (1, " ".join(passage), "a"), (2, scattered[1], "a"), (3, " ".join(fuzzy), "a")]
+    got = {(r["doc_id"], r["origin_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame(docs, DOCS), every=True).collect()}
+    assert got == {(3, 1)}
+
+
+def test_periodic_texts_have_few_passages(spark):
+    rng = random.Random(23)
+    docs = [(1, f"{sentence(rng, 60)} {'ab cd ' * 44}", "a"), (2, f"{sentence(rng, 70)} {'ab cd ' * 225} {sentence(rng, 50)}", "a")]
+    found = passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert set().union(*(range(r["first_word"], r["end_word"]) for r in found)) >= set(range(70, 515)) and len(found) <= 12
+
+
+def test_fewest_passages_cover_the_same_words():
+    rng = random.Random(24)
+    for _ in range(200):
+        spans = [(a := rng.randrange(30), a + rng.randrange(1, 12)) for _ in range(rng.randrange(1, 9))]
+        rows = np.array([(d, a, b, 5, a, b, b - a) for a, b in spans for d in (7, 8)], dtype=np.int64)
+        kept = passages.fewest(rows)
+        covered = set().union(*(range(a, b) for a, b in spans))
+        least = next(k for k in range(1, 9) if any(set().union(*(range(a, b) for a, b in some)) == covered for some in itertools.combinations(spans, k)))
+        for d in (7, 8):
+            own = [(a, b) for x, a, b, *_ in kept.tolist() if x == d]
+            assert set().union(*(range(a, b) for a, b in own)) == covered and len(own) == least
+    assert passages.fewest(np.empty((0, 7), dtype=np.int64)).shape == (0, 7)
+
+
 def test_chains_score_like_brute_force():
     rng = random.Random(2)
     for _ in range(40):
