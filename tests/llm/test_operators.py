@@ -128,6 +128,58 @@ def test_passage_between_unrelated_documents(spark):
     assert got == {(3, 1)}
 
 
+@pytest.mark.parametrize("crowd", [2, 70])
+def test_passage_behind_many_other_partners(spark, crowd):
+    rng = random.Random(31)
+    passage = sentence(rng, 60, 10**6).split()
+    scattered = lambda: " ".join(" ".join(passage[i : i + 6]) + " " + sentence(rng, 90, 10**6) for i in range(0, 60, 1 if crowd == 2 else 3))
+    fuzzy = [w if (i + 1) % 10 else "new" for i, w in enumerate(passage)]
+    docs = [(i, scattered(), "a") for i in range(crowd)] + [(crowd // 2 + 1000, " ".join(passage), "a")]
+    docs += [(2000 + i, scattered(), "a") for i in range(crowd)] + [(5000, " ".join(fuzzy), "a")]
+    got = {(r["doc_id"], r["origin_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {(5000, crowd // 2 + 1000)}
+
+
+def test_copies_of_a_common_passage_are_not_paired_with_each_other(spark):
+    rng = random.Random(32)
+    passage = sentence(rng, 60, 10**6)
+    docs = [(i, f"{sentence(rng, 60, 10**6)} {passage} {sentence(rng, 60, 10**6)}", "a") for i in range(80)]
+    found = passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert {r["doc_id"]: r["end_word"] - r["first_word"] for r in found} == dict.fromkeys(range(1, 80), 60) and len(found) <= 240  # of 3,160 pairs
+
+
+def test_partner_pairs_are_those_of_all_pairs():
+    rng = np.random.default_rng(33)
+    size, short, side = 12, 4, passages.side_words(12, 4)
+    for turn in range(6):
+        n, words = 60, 6 if turn % 2 else 40
+        doc, free = np.sort(rng.integers(0, 30, n)), rng.random(n) < 0.7
+        left, right = (np.repeat(rng.integers(0, words, (n // 4, side)), 4, axis=0).astype(np.int32) for _ in range(2))
+        order = rng.permutation(n)
+        left, right = left[order], right[order]
+        for x in (left, right):
+            edited = rng.random(x.shape) < 0.1
+            x[edited] = rng.integers(0, words, int(edited.sum()))
+            for i, end in enumerate(rng.integers(0, side + 1, n)):
+                if i % 3 == 0:
+                    x[i, end:] = 256 + i
+        group = rng.integers(0, 2, n)
+        got = set(map(tuple, passages.partner_pairs(group, doc, free, left, right, short, size, 0).tolist()))
+        for i in range(n):
+            for j in range(n):
+                if group[i] != group[j] or doc[j] >= doc[i] or not free[i]:
+                    assert (i, j) not in got
+                    continue
+                runs = [int(np.argmax(np.append(x[i] != x[j], True))) for x in (left, right)]
+                if sum(runs) + short >= size:
+                    continue  # given with the first that has the words
+                near = False
+                for x, e in zip((left, right), runs, strict=True):
+                    three = [{tuple(x[k, a : a + 3]) for a in range(e, e + passages.MAX_GAP + 1) if x[k, a : a + 3].max() < 256} for k in (i, j)]
+                    near |= x[i, e] < 256 and x[j, e] < 256 and bool(three[0] & three[1])
+                assert ((i, j) in got) == near
+
+
 def test_periodic_texts_have_few_passages(spark):
     rng = random.Random(23)
     docs = [(1, f"{sentence(rng, 60)} {'ab cd ' * 44}", "a"), (2, f"{sentence(rng, 70)} {'ab cd ' * 225} {sentence(rng, 50)}", "a")]
