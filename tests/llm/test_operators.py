@@ -140,6 +140,20 @@ def test_passage_behind_many_other_partners(spark, crowd):
     assert got == {(5000, crowd // 2 + 1000)}
 
 
+def test_substring_stage_cuts_passages_behind_other_partners(spark):
+    import corpus_pipeline
+
+    rng = random.Random(34)
+    passage = sentence(rng, 60, 10**6).split()
+    scattered = lambda: " ".join(" ".join(passage[i : i + 6]) + " " + sentence(rng, 90, 10**6) for i in range(0, 60, 3))
+    fuzzy = [w if (i + 1) % 10 else "new" for i, w in enumerate(passage)]
+    rest = sentence(rng, 70, 10**6)
+    texts = [*(scattered() for _ in range(20)), " ".join(passage), *(scattered() for _ in range(20)), " ".join(fuzzy) + " " + rest]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_stage(spark, docs, "").collect()}
+    assert {i: t for i, t in left.items() if i < 41} == dict(enumerate(texts[:41])) and len(left[41].split()) <= 71 and rest in left[41]
+
+
 def test_copies_of_a_common_passage_are_not_paired_with_each_other(spark):
     rng = random.Random(32)
     passage = sentence(rng, 60, 10**6)
@@ -164,7 +178,7 @@ def test_partner_pairs_are_those_of_all_pairs():
                 if i % 3 == 0:
                     x[i, end:] = 256 + i
         group = rng.integers(0, 2, n)
-        got = set(map(tuple, passages.partner_pairs(group, doc, free, left, right, short, size, 0).tolist()))
+        got = {pair for x, y in passages.partner_pairs(group, doc, free, left, right, short, size, 0) for pair in zip(x.tolist(), y.tolist(), strict=True)}
         for i in range(n):
             for j in range(n):
                 if group[i] != group[j] or doc[j] >= doc[i] or not free[i]:
