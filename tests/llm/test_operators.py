@@ -194,6 +194,53 @@ def test_partner_pairs_are_those_of_all_pairs():
                 assert ((i, j) in got) == near
 
 
+def test_insides_of_periodic_runs_are_no_origins_and_covered(spark):
+    rng = random.Random(35)
+    sizes = [100, *(rng.randrange(40, 100) for _ in range(38)), 150]
+    docs = [(i, f"{sentence(rng, 60, 10**6)} {'ab ' * n}{'cd ' * 30}{sentence(rng, 60, 10**6)}", "a") for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(docs, DOCS)
+    covered = {}
+    for r in passages.repeated_passages(frame).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["end_word"]))
+    assert covered == {i: set(range(60, 90 + n)) for i, n in enumerate(sizes) if i}
+    slim, n = frame.selectExpr("doc_id AS _id", "text AS _text"), 3
+    words = passages.word_blobs(slim, 48, n)
+    matched = passages.match_blobs(passages.seed_blobs(slim, 48, 0.8, n), n).filter(f"kind != {passages.MATCHES}")
+    opened = passages.open_blobs(matched, words, words.limit(0), 4, 48, n, True).filter(f"kind = {passages.AROUND}").collect()
+    places = sum(len(passages.blobs.decode(r["blob"])[0]) for r in opened)
+    assert 0 < places < sum(sizes) / 2
+
+
+def test_partner_pairs_that_agree_are_those_of_all_pairs():
+    rng = np.random.default_rng(36)
+    size, short, side, least, rows = 12, 4, passages.side_words(12, 4), 9, 60
+    seen = 0
+    for _ in range(2):
+        doc, free, inner = np.sort(rng.integers(0, 30, rows)), rng.random(rows) < 0.7, rng.random(rows) < 0.2
+        left, right = (np.repeat(rng.integers(0, 40, (rows // 4, side)), 4, axis=0).astype(np.int32) for _ in range(2))
+        for x in (left, right):
+            edited = rng.random(x.shape) < 0.15
+            x[edited] = rng.integers(0, 40, int(edited.sum()))
+        got = {pair for x, y in passages.partner_pairs(np.zeros(rows, dtype=int), doc, free, left, right, short, size, least, inner) for pair in zip(x.tolist(), y.tolist(), strict=True)}
+        both = np.concatenate([left[:, ::-1], np.zeros((rows, short), dtype=np.int32), right], axis=1)
+        for i, j in itertools.product(range(rows), repeat=2):
+            runs = [int(np.argmax(np.append(x[i] != x[j], True))) for x in (left, right)]
+            run = sum(runs) + short
+            if run >= size:
+                continue  # given with the first that has the words
+            near = False
+            for x, e in zip((left, right), runs, strict=True):
+                grams = lambda k, n: [tuple(x[k, a : a + n]) for a in range(e, min(e + passages.MAX_GAP, side - n) + 1)]  # noqa: E731,B023
+                threes = sum(u == v for u in grams(i, 3) for v in grams(j, 3))
+                near |= bool(set(grams(i, short)) & set(grams(j, short))) or (run >= 2 * short and threes + (run >= least - 6) * (threes > 0) >= 2)
+            drift = passages.DRIFT + passages.MAX_GAP
+            equal = np.array([word in both[j, max(at - drift, 0) : at + drift + 1] for at, word in enumerate(both[i])])
+            agree = max(equal[a : a + size].sum() for a in range(len(equal) - size + 1)) >= least
+            seen += (expected := bool(doc[j] < doc[i] and free[i] and not inner[j] and near and agree))
+            assert ((i, j) in got) == expected
+    assert seen > 10
+
+
 def test_periodic_texts_have_few_passages(spark):
     rng = random.Random(23)
     docs = [(1, f"{sentence(rng, 60)} {'ab cd ' * 44}", "a"), (2, f"{sentence(rng, 70)} {'ab cd ' * 225} {sentence(rng, 50)}", "a")]
