@@ -241,6 +241,24 @@ def test_partner_pairs_that_agree_are_those_of_all_pairs():
     assert seen > 10
 
 
+def test_freed_memory_goes_back_at_the_end_of_a_task():
+    from pathlib import Path
+
+    from gridloom.llm import store
+
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    held = []
+
+    def run(batches):
+        parts = [np.ones(12_500) for _ in range(3_000)]
+        held.append(np.ones(12_500))  # lies behind them, so that the heap can't just end earlier
+        yield from batches
+        del parts
+
+    before = resident()
+    assert list(store.returning(run)(iter([]))) == [] and resident() - before < 100_000_000
+
+
 def test_periodic_texts_have_few_passages(spark):
     rng = random.Random(23)
     docs = [(1, f"{sentence(rng, 60)} {'ab cd ' * 44}", "a"), (2, f"{sentence(rng, 70)} {'ab cd ' * 225} {sentence(rng, 50)}", "a")]
